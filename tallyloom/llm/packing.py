@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from zlib import crc32
@@ -13,31 +14,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 1_500_000
 _tokenizers: dict = {}
 
 
-def _encoder(path: str):
-    """text -> ids as little-endian uint32 bytes. Words between blanks never merge in this tokenizer, so each is encoded once."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+class _Words(dict):
+    """word -> its ids as little-endian uint32 bytes. Words between blanks never merge in this tokenizer, nor do letters
+    with the punctuation after them, and the case of ASCII letters does not count: so every new row of letters, and of
+    punctuation, is encoded once, many in one text, where the last id of each is a word end. Other words are encoded whole."""
+
+    SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-        _tokenizers[path] = Tokenizer.from_file(path), {"": b""}
-    tokenizer, known = _tokenizers[path]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> bytes:
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        made, odd = [], []
+        for word in words:
+            if m := self.SIMPLE.fullmatch(word):
+                letters, marks = m.groups()
+                made.append((word, letters.lower() if letters.isascii() else letters, marks))
+            else:
+                odd.append(word)
+        rows = [x for x in {y for _, *pair in made for y in pair} if x not in self]
+        if rows:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(rows)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(rows) and stops[-1] == len(ids):
+                data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.update((w, data[x:y]) for w, x, y in zip(rows, cuts, cuts[1:], strict=False))
+            else:
+                odd, made = words, []
+        for word, letters, marks in made:
+            self[word] = self[letters] + self[marks]
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
+            self[word] = np.asarray(found.ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in known]
+        new = [w for w in set(words) if w not in self]
         if new:
-            if len(known) + len(new) > WORD_MEMORY:
-                known.clear()
-                known[""] = b""
+            if len(self) > WORD_MEMORY:
+                self.clear()
+                self[""] = b""
                 new = [w for w in set(words) if w]
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            self.learn(new)
+        return b"".join(map(self.__getitem__, words))
+
 
-    return encode
+def _encoder(path: str):
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path)
+    return _tokenizers[path].encode
 
 
 class Levels:
