@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, topk, toxicity, url_reputation
+from . import chat, decontam, langid, neardup, packing, pii, suffixdedup, topk, toxicity, url_reputation
 from .common import table
 from .sampling import held_out
 
@@ -57,7 +57,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op4_language, op5_chat, op6_decontamination, op7_toxicity, op8_pii, op9_near_duplicates)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op4_language, op5_chat, op6_decontamination, op7_toxicity, op8_pii, op9_near_duplicates, op10_substring_dedup)}
 
 _ESCAPED = r"length({0}) + len(regexp_extract_all({0}, '<\\*\|'))"
 
