@@ -44,6 +44,8 @@ def checked(spark: SparkSession, text: str, columns: set[str]) -> str:
         refuse("integer division")
     if re.search(r"\b(SELECT|FROM|OVER|FILTER|INSERT|DROP|CREATE)\b", text, re.I):
         refuse("subquery, window, filter or statement")
+    if re.search(r"\(\s*\*|,\s*\*", text):
+        refuse("star")
     if re.search(r"\?|:[A-Za-z]", text):
         refuse("bind parameter")
     rewritten = re.sub(r"\bUNIQEXACT\s*\(", "count(DISTINCT ", text, flags=re.I)
