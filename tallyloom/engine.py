@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .catalog import digest
 from .model import GRAINS, Catalog, Limits, Question, question
-from .operators.probes import require_unique
+from .operators.probes import require_unique, size_in_bytes
 from .plans import statement
 from .plans.ask import Planner
 from .plans.resolve import Resolved, resolve
@@ -23,13 +25,35 @@ class Answer:
 
     df: DataFrame
     digest: str
-    most: int
+    limits: Limits
 
     def rows(self) -> list[Row]:
-        """All rows, or a refusal: an answer is never cut short."""
-        found = self.df.collect()
-        if len(found) > self.most:
-            raise Refusal("result_too_large", f"{self.most} rows at most")
+        """All rows, or a refusal: an answer is never cut short, and no job of it outlives the deadline."""
+        if self.limits.scan_bytes and size_in_bytes(self.df) > self.limits.scan_bytes:
+            raise Refusal("budget_exhausted", "the plan reads more than the budget")
+        context, tag, late = self.df.sparkSession.sparkContext, f"answer-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.limits.seconds, stop)
+        timer.daemon = True
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            found = self.df.collect()
+        except Exception as e:
+            if late.is_set():
+                raise Refusal("deadline_exceeded", f"{self.limits.seconds} seconds") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+        if len(found) > self.limits.rows:
+            raise Refusal("result_too_large", f"{self.limits.rows} rows at most")
+        if sum(len(str(cell)) for row in found for cell in row) > self.limits.answer_bytes:
+            raise Refusal("result_too_large", f"{self.limits.answer_bytes} bytes at most")
         return found
 
 
@@ -46,13 +70,13 @@ class Engine:
 
     def ask(self, asked: Question | dict, today: date | None = None) -> Answer:
         """The question's answer as a plan; nothing runs yet but the inference of schemas."""
-        return Answer(self.planner.answer(self.resolved(asked, today)), self.digest, self.limits.rows)
+        return Answer(self.planner.answer(self.resolved(asked, today)), self.digest, self.limits)
 
     def sql(self, text: str, models: list[str] | None = None) -> Answer:
         """A read-only statement over the tables of the admitted models (all, unless named)."""
         admitted = [self.catalog.models[m] for m in (models or self.catalog.models)]
         tables = {m.table: statement.view(self.sources.frame(m), m) for m in admitted if m.audience in ("open", self.audience)}
-        return Answer(statement.run(self.spark, text, tables, self.limits.rows), self.digest, self.limits.rows)
+        return Answer(statement.run(self.spark, text, tables, self.limits.rows), self.digest, self.limits)
 
     def describe(self) -> list[dict]:
         """What may be asked: metrics with their grains, dimensions, values and notes."""
@@ -65,6 +89,10 @@ class Engine:
             for m in self.catalog.metrics.values() if m.audience in ("open", self.audience)
         ]
 
+    def describe_tables(self) -> dict[str, dict[str, str]]:
+        """Physical tables and their columns' types, as the sources give them."""
+        return {m.table: dict(self.sources.frame(m).dtypes) for m in self.catalog.models.values() if m.audience in ("open", self.audience)}
+
     def check_keys(self) -> None:
         """Probes the primary keys that models promise; one aggregate each."""
         for m in self.catalog.models.values():

@@ -193,6 +193,9 @@ class Limits:
     lookups: int = 3
     sources: int = 4
     legs: int = 6
+    seconds: float = 30.0
+    answer_bytes: int = 8 << 20
+    scan_bytes: int | None = None
 
 
 def question(raw: dict, today: date | None = None) -> Question:

@@ -110,3 +110,51 @@ def test_stream_rolls_up_weeks(spark, tmp_path):
     assert got[1, date(2025, 12, 29)] == 1 + 3 and got[0, date(2026, 1, 5)] == 6 + 8 + 10
     with pytest.raises(Refusal):
         rolled_up(stream, "ts", "week", {"n": Measure(Term("count_distinct", "v"))})
+
+
+def test_importers(spark):
+    from tallyloom.catalog import importers
+
+    columns = [("orders", "id", "bigint", "NO", 1), ("orders", "cust", "bigint", "YES", 2), ("cust", "id", "bigint", "NO", 1), ("tmp_x", "id", "bigint", "NO", 1)]
+    keys = [("fk1", "orders", "cust", "cust", "id", 1), ("fk2", "orders", "id", "tmp_x", "id", 1)]
+    c = importers.from_dictionary(
+        spark.createDataFrame(columns, "table_name string, column_name string, data_type string, is_nullable string, ordinal_position int"),
+        spark.createDataFrame(keys, "constraint_name string, table_name string, column_name string, target_table string, target_column string, ordinal_position int"), "db", exclude=("tmp_*",),
+    )
+    assert set(c.models) == {"orders", "cust"} and set(c.relationships) == {"fk1"} and not c.models["orders"].columns["id"].nullable
+    c = importers.from_data_contract("schema:\n  - name: t\n    properties:\n      - {name: a, logicalType: integer, primaryKey: true, description: key}\n", "db")
+    assert c.models["t"].primary_key == ("a",) and importers.capabilities(c) == {"structure", "primary_keys", "column_descriptions"}
+    manifest = {
+        "models": [{"name": "o", "primaryKey": "id", "columns": [{"name": "id"}, {"name": "c"}, {"name": "v"}, {"name": "d"}]}, {"name": "c", "columns": [{"name": "id"}]}],
+        "relationships": [{"name": "r", "models": ["c", "o"], "joinType": "one_to_many", "condition": "c.id = o.c"}],
+        "cubes": [{"name": "x", "baseObject": "o", "timeDimensions": [{"name": "d", "expression": "d"}], "dimensions": [{"name": "who", "expression": "c"}], "measures": [{"name": "total", "expression": "SUM(v)"}, {"name": "ids", "expression": "count(distinct id)"}]}],
+    }
+    c = importers.from_manifest(manifest, "db")
+    assert c.relationships["r"].origin == "o" and c.relationships["r"].keys[0].origin == "c" and c.metrics["ids"].measure.numerator.aggregate == "count_distinct"
+    manifest["relationships"][0]["condition"] = "c.id = o.c OR 1"
+    with pytest.raises(Refusal, match="invalid_definition"):
+        importers.from_manifest(manifest, "db")
+
+
+def test_deadline_and_budgets(spark):
+    from tallyloom.engine import Answer
+    from tallyloom.model import Limits
+
+    slow = spark.range(10**12).selectExpr("sum((id % 7) * (id % 11)) AS s")
+    with pytest.raises(Refusal, match="deadline_exceeded"):
+        Answer(slow, "", Limits(seconds=1.5)).rows()
+    with pytest.raises(Refusal, match="budget_exhausted"):
+        Answer(spark.range(10**6), "", Limits(scan_bytes=1000)).rows()
+    with pytest.raises(Refusal, match="result_too_large"):
+        Answer(spark.range(1000), "", Limits(answer_bytes=1000)).rows()
+    assert len(Answer(spark.range(3), "", Limits()).rows()) == 3
+
+
+def test_declared_schemas_and_csv(spark, tmp_path):
+    from tallyloom.model import Column
+
+    (tmp_path / "x.csv").write_text("a,b\n1,2.50\nz,1\n")
+    schema = files.declared({"a": Column("a", "BIGINT"), "b": Column("b", "NUMERIC(10,2)"), "c": Column("c", "GEOMETRY")})
+    assert [f.dataType.simpleString() for f in schema] == ["bigint", "decimal(10,2)", "string"]
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.csv(spark, str(tmp_path / "x.csv"), files.T.StructType(schema.fields[:2])).collect()
