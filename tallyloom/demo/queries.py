@@ -139,7 +139,7 @@ def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 _MASKED = "(SELECT doc_id, lang, source, CASE WHEN strlen(x) <= 256 THEN x ELSE substr(x, 1, 60) || '...[truncated]' END AS text FROM (SELECT *, regexp_replace(regexp_replace(text, '(?i)idiot|clown', '***', 'g'), '[0-9]+', '#', 'g') AS x FROM documents)) d"
 _STATEMENTS = {
-    "stmt_window": "SELECT c_custkey, c_mktsegment, place FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) t WHERE place <= 3",
+    "stmt_window": "SELECT c_custkey, c_mktsegment, place FROM (SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS place FROM customer) t WHERE place <= 3",
     "stmt_union": "SELECT n_name AS name FROM nation UNION SELECT r_name AS name FROM region",
     "stmt_except_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1",
     "stmt_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
