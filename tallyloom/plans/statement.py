@@ -9,7 +9,12 @@ from ..functions.text import masked
 from ..model import Model
 from ..refusal import Refusal
 
-BYTES, OPERATORS, QUERIES = 64 * 1024, 1000, 1024
+BYTES, OPERATORS = 64 * 1024, 1000
+
+
+#: Spark's plan nodes that write or change something, and those that make rows out of nothing or of functions.
+WRITES = ("Insert", "Create", "Drop", "Alter", "SetCatalog", "SetNamespace", "Show", "Describe", "Update", "Delete", "Merge", "Truncate", "Cache", "Uncache", "Refresh", "Use", "Explain", "Replace", "Analyze", "Add", "Repair", "Load", "CompoundBody")
+TABLE_FUNCTIONS = ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Generate", "LateralJoin", "RelationTimeTravel", "ScriptTransformation", "Pivot", "Unpivot", "Sample")
 
 
 def _list(seq) -> list:
@@ -32,46 +37,45 @@ def checked(spark: SparkSession, text: str, admitted: set[str]) -> set[str]:
     count = [0]
     known = {t.lower() for t in admitted}
 
+    def relation(node, kind: str, local: frozenset) -> None:
+        if "execution" in node.getClass().getName() or "Command" in kind or kind.startswith(WRITES):
+            raise Refusal("not_read_only", kind)
+        if kind in TABLE_FUNCTIONS:
+            raise Refusal("table_function", kind)
+        if kind == "UnresolvedWith":
+            if node.allowRecursion():
+                raise Refusal("recursive_cte")
+            for pair in _list(node.cteRelations()):
+                walk(pair._2(), local, False)
+                local |= {pair._1().lower()}
+            walk(node.child(), local, False)
+            return
+        if kind == "UnresolvedRelation":
+            parts = [p.lower() for p in _list(node.multipartIdentifier())]
+            if len(parts) == 1 and parts[0] in local:
+                return
+            if len(parts) != 1 or parts[0] not in known:
+                raise Refusal("unknown_table", ".".join(parts))
+            tables.add(parts[0])
+        for e in _list(node.expressions()):
+            walk(e, local, True, kind == "Project")
+        for c in _list(node.children()):
+            walk(c, local, False)
+
     def walk(node, local: frozenset, expression: bool, projecting: bool = False) -> None:
         kind = node.getClass().getSimpleName()
-        package = node.getClass().getName()
         count[0] += 1
         if count[0] > 4 * OPERATORS:
             raise Refusal("expression_too_large")
         if not expression:
-            if "execution" in package or "Command" in kind or "Insert" in kind or kind.startswith(("Create", "Drop", "Alter", "Set", "Show", "Describe", "Update", "Delete", "Merge", "Truncate", "Cache", "Refresh", "Use", "Explain", "Replace", "Analyze", "Add")):
-                if kind not in ("SetOperation",):
-                    raise Refusal("not_read_only", kind)
-            if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Generate", "LateralJoin", "RelationTimeTravel", "UnresolvedInlineTable", "ScriptTransformation", "Pivot", "Unpivot", "TableSample", "Sample"):
-                if kind != "UnresolvedInlineTable":
-                    raise Refusal("table_function", kind)
-            if kind == "UnresolvedWith":
-                if node.allowRecursion():
-                    raise Refusal("recursive_cte")
-                for pair in _list(node.cteRelations()):
-                    walk(pair._2(), local, False)
-                    local |= {pair._1().lower()}
-                walk(node.child(), local, False)
-                return
-            if kind == "UnresolvedRelation":
-                parts = [p.lower() for p in _list(node.multipartIdentifier())]
-                if len(parts) == 1 and parts[0] in local:
-                    return
-                if len(parts) != 1 or parts[0] not in known:
-                    raise Refusal("unknown_table", ".".join(parts))
-                tables.add(parts[0])
-            for e in _list(node.expressions()):
-                walk(e, local, True, kind == "Project")
-            for c in _list(node.children()):
-                walk(c, local, False)
+            relation(node, kind, local)
             return
         if kind == "Exists" and projecting:
             raise Refusal("exists_in_projection")
-        if "Generator" in kind or (kind == "UnresolvedFunction" and node.nameParts().apply(node.nameParts().size() - 1).lower() in EXCLUDED):
+        if "Generator" in kind or (kind == "UnresolvedFunction" and _list(node.nameParts())[-1].lower() in EXCLUDED):
             raise Refusal("construct_not_allowed", kind)
-        if hasattr(node, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"):
-            if kind != "InSubquery":
-                walk(node.plan(), local, False)
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            walk(node.plan(), local, False)
         for c in _list(node.children()):
             walk(c, local, True, projecting)
 
