@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 
 @dataclass(frozen=True)
 class Template:
@@ -76,7 +78,7 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
 
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, turn_no long, kind string, text string, loss boolean, in_order boolean")
+    return mapped(dealt, run, "conv_id long, turn_no long, kind string, text string, loss boolean, in_order boolean")
 
 
 class _Reader:
@@ -127,4 +129,4 @@ def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame
         if reader:
             yield made([reader.row()])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return mapped(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -35,3 +35,28 @@ def forget(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_memory: dict = {}
+
+
+def memory(name: object, make):
+    """What a Python process remembers between batches and tasks, such as hashed words: of one operator at a time, so that
+    a worker that serves one stage after another does not gather all of theirs."""
+    if name not in _memory:
+        _memory.clear()
+        _memory[name] = make()
+    return _memory[name]
+
+
+#: Rows that a Python worker gets at a time; texts are long, and Spark's own 10,000 would be bounded by nothing else.
+BATCH_ROWS = 500
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows; for that it lowers the session's setting, if that is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Items of one index (further ones go to further indexes, each searched by all passages) and of one block.
 INDEX_ITEMS, BLOCK = 2000, 4
 #: Words of half a passage at least; passages of two halves start at every half.
@@ -48,6 +50,7 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     block_max: np.ndarray  # (terms, blocks)
+    block: int
     half: int
 
     @classmethod
@@ -71,7 +74,7 @@ class Index:
         np.maximum.at(block_max, (term, item // BLOCK), flat[2])
         parts = [[(n := min(SHINGLE, len(p)), shingles(p, n)) for p in question_and_answer(t)] for _, t in rows]
         half = max([HALF, *map(len, texts)])
-        return cls([i for i, _ in rows], parts, terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, flat[2], block_max, half)
+        return cls([i for i, _ in rows], parts, terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, flat[2], block_max, BLOCK, half)
 
     def search(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item id, score, overlap of the question, of the answer) of every verified passage."""
@@ -103,7 +106,7 @@ class Index:
             found = np.unique(term[bounds[h] : bounds[stop]])
             spans = [slice(self.first[t], self.first[t + 1]) for t in found]
             scores = np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.impacts[s] for s in spans]), len(self.ids))
-            open_ = np.repeat(upper[h] >= SCORE, BLOCK)[: len(self.ids)]
+            open_ = np.repeat(upper[h] >= SCORE, self.block)[: len(self.ids)]
             hits = np.flatnonzero(open_ & (scores >= SCORE))
             if not len(hits):
                 continue
@@ -144,7 +147,7 @@ def _marked_once(docs: DataFrame, index: Index) -> DataFrame:
             place = batch.schema.get_field_index("leaks")
             yield pa.RecordBatch.from_arrays([pa.array(leaks, kind) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

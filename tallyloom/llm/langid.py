@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .sampling import bounded_sample, held_out
 
 #: State size of each direction, bytes of a piece (states start anew in each), pieces that run side by side.
@@ -183,4 +184,4 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                     said[i], scores[i] = model.names[int(row.argmax())], min(1.0, row.max())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return out.mapInArrow(run, schema)
+    return mapped(out, run, schema)
