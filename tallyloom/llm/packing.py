@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -13,64 +12,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped, memory
+
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 1_500_000
-_tokenizers: dict = {}
+WORD_MEMORY = 600_000
 
 
-class _Words(dict):
+class _Words:
     """word -> its ids as little-endian uint32 bytes. Words between blanks never merge in this tokenizer, nor do letters
     with the punctuation after them, and the case of ASCII letters does not count: so every new row of letters, and of
     punctuation, is encoded once, many in one text, where the last id of each is a word end. Other words are encoded whole."""
 
-    SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        self.known: dict[str, bytes] = {"": b""}
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        made, odd = [], []
+    def learn(self, words: Iterable[str]) -> None:
+        made, odd, known = [], [], self.known
         for word in words:
-            if m := self.SIMPLE.fullmatch(word):
-                letters, marks = m.groups()
-                made.append((word, letters.lower() if letters.isascii() else letters, marks))
+            letters = word.rstrip(self.MARKS)
+            if letters.isalpha():
+                made.append((word, letters.lower() if letters.isascii() else letters, word[len(letters) :]))
             else:
                 odd.append(word)
-        rows = [x for x in {y for _, *pair in made for y in pair} if x not in self]
+        rows = list({x for _, *pair in made for x in pair}.difference(known))
         if rows:
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(rows)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(rows) and stops[-1] == len(ids):
                 data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.update((w, data[x:y]) for w, x, y in zip(rows, cuts, cuts[1:], strict=False))
+                known.update((w, data[x:y]) for w, x, y in zip(rows, cuts, cuts[1:], strict=False))
             else:
-                odd, made = words, []
+                odd, made = [*odd, *(w for w, _, _ in made)], []
         for word, letters, marks in made:
-            self[word] = self[letters] + self[marks]
+            known[word] = known[letters] + known[marks]
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
-            self[word] = np.asarray(found.ids, "<u4").tobytes()
+            known[word] = np.asarray(found.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self]
+        new = set(words).difference(self.known)
         if new:
-            if len(self) > WORD_MEMORY:
-                self.clear()
-                self[""] = b""
-                new = [w for w in set(words) if w]
+            if len(self.known) > WORD_MEMORY:
+                self.known = {"": b""}
+                new = set(words) - {""}
             self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def _encoder(path: str):
-    if path not in _tokenizers:
-        _tokenizers[path] = _Words(path)
-    return _tokenizers[path].encode
+    return memory(("packing", path), lambda: _Words(path)).encode
 
 
 class Levels:
@@ -184,4 +181,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
         yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema + ", ids binary" * with_ids)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema + ", ids binary" * with_ids)
