@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from .common import forget, mapped, materialize, memory
 
 #: Words of a shingle, least weighted Jaccard similarity, bands and rows of the signature: a pair at 0.8 shares no band
 #: with probability (1 - 0.8^5)^25 = 5e-5.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 5
-#: How many times more members of a bucket are compared with all others in each round.
-GROWTH = 8
+#: Members of a block, two of which a task holds at most, and those that all first cells of a large family share.
+BLOCK, COMMON = 512, 16
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,14 +27,11 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
 
-_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -52,7 +49,7 @@ def bag(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shingles and how often each occurs; fewer than five words are one shingle, none have none."""
     if not w:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(memory("neardup", _Hashes).__getitem__, w), np.uint64, len(w))
     n = min(SHINGLE, len(w))
     total = np.zeros(len(w) - n + 1, np.uint64)
     for j in range(n):
@@ -125,19 +122,66 @@ def _signed(docs: DataFrame) -> DataFrame:
                     found.append(bands(signature(*bag(w))) if w else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text_key binary, bands array<long>")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough."""
+def forest(texts: list[str | None]) -> np.ndarray:
+    """For each text the place of the first text of its component, where links are similarities of 0.8 or more.
+
+    A text is compared with all others at once, through an inverted index of shingles. Once a text is done all its links
+    are known, so the work ends as soon as all texts not yet done are of one component: copies of one text take a step
+    or two, and texts off the largest component are those compared with the rest."""
+    if len(texts) == 2:
+        return np.array([0, 0 if similarity(*texts) >= LEAST - 1e-12 else 1])
+    bags = [bag(words(t)) for t in texts]
+    sizes = np.array([n.sum() for _, n in bags])
+    owner = np.repeat(np.arange(len(bags)), [len(e) for e, _ in bags])
+    flat, counts = np.concatenate([e for e, _ in bags]), np.concatenate([n for _, n in bags])
+    order = np.argsort(flat, kind="stable")
+    flat, owner, counts = flat[order], owner[order], counts[order]
+    root, open_ = np.arange(len(bags)), np.ones(len(bags), bool)
+    while True:
+        names, many = np.unique(root[open_], return_counts=True)
+        if len(names) < 2:
+            return root
+        x = int(np.flatnonzero(open_ & (root != names[many.argmax()]))[0])
+        open_[x] = False
+        elements, n = bags[x]
+        low, high = np.searchsorted(flat, elements), np.searchsorted(flat, elements, "right")
+        reach = high - low
+        places = np.repeat(low - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+        both = np.bincount(owner[places], np.minimum(counts[places], np.repeat(n, reach)), len(bags))
+        linked = np.unique(root[both >= (LEAST - 1e-12) * (sizes + sizes[x] - both)])
+        linked = np.union1d(linked, root[x : x + 1])
+        root[np.isin(root, linked)] = linked[0]
+
+
+def _linked(cells: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect, within each cell (family, cell, doc_id, text), what similarities connect there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, texts = None, [], []
+
+        def told() -> pa.RecordBatch:
+            root = forest(texts) if len(ids) > 1 else np.zeros(len(ids), np.int64)
+            own = np.array(ids, np.int64)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[root[moved]])], ["a", "b"])
+
         for batch in batches:
-            good = [similarity(x, y) >= LEAST - 1e-12 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for family, cell, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("family", "cell", "doc_id", "text")), strict=True):
+                if (family, cell) != at:
+                    if len(ids) > 1:
+                        yield told()
+                    at, ids, texts = (family, cell), [], []
+                if not ids or ids[-1] != doc_id:
+                    ids.append(doc_id)
+                    texts.append(text)
+        if len(ids) > 1:
+            yield told()
 
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    dealt = cells.select("family", "cell", "doc_id", "text").repartition("family", "cell").sortWithinPartitions("family", "cell", "doc_id")
+    return mapped(dealt, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,10 +210,11 @@ def classes(docs: DataFrame) -> DataFrame:
     Jaccard similarity of 0.8 or more over five-word shingles, named by its smallest doc_id.
 
     Equal texts (but for case and punctuation) are one member from the start, so copies never meet in pairs. Members
-    that share a band fall in a bucket. First the bucket's smallest member is compared with the others; where a bucket
-    then still holds several components, about 8 hashed members are compared with those of other components, then 64,
-    and so on, until every bucket is of one component or all its pairs across components were compared: no link that
-    would join two classes is lost, no bucket is capped, and pairs within a component are not made.
+    that share a band fall in a bucket, buckets that share members in a family. A family of up to 1024 members is one
+    cell, whose texts are compared in one task with an inverted index, exactly. A larger one is first cut into cells of
+    about 512 members, each with about 16 common ones; then the members off its largest component so far, in blocks, meet
+    each other and every block of that component. So every pair of a family that could join two classes is compared,
+    no group is capped, no task holds more than two blocks, and no pairs are emitted, only edges of a forest.
     Texts without words, and null doc_ids, are alone (class_id is doc_id). Rows that repeat a doc_id share a class if
     their texts do. An empty table gives no rows.
     """
@@ -177,28 +222,31 @@ def classes(docs: DataFrame) -> DataFrame:
     members = signed.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands"))
     members = materialize(members)
     buckets = members.select("member", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("member").alias("least")).filter("n > 1")
-    placed = materialize(buckets.join(shared, "bucket").select("bucket", "member", "n", "least"))
-    wanted = placed.select(F.col("member").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts)
-    pairs = placed.filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
-    found = materialize(components(_links(pairs, texts)).withColumnRenamed("node", "member"))
-    draw = F.pmod(F.xxhash64("member", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    before, until = 0, GROWTH
-    while True:
-        now = placed.join(found, "member", "left").select("bucket", "member", "n", draw.alias("draw"), F.coalesce("component", "member").alias("component"))
-        split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("size")).filter(F.col("low") < F.col("high")).filter(F.col("size") > before)
-        open_ = materialize(now.join(split.select("bucket"), "bucket"))
-        pivots = open_.filter((F.col("draw") >= before) & (F.col("draw") < until)).select("bucket", F.col("member").alias("pivot"), F.col("component").alias("own"))
-        rest = open_.filter(F.col("draw") >= before)
-        pairs = rest.join(pivots, "bucket").filter("component <> own").select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")).distinct()
-        if open_.isEmpty():
-            break
-        met = _links(pairs, texts).join(found.select(F.col("member").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("member").alias("b"), F.col("component").alias("cb")), "b", "left")
-        merged = components(met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("becomes"))
-        all_ = found.unionByName(placed.select("member", F.col("member").alias("component")).distinct().join(found, "member", "left_anti"))
-        found = materialize(all_.join(merged, F.col("component") == F.col("was"), "left").select("member", F.coalesce("becomes", "component").alias("component")))
-        before, until = until, until * GROWTH
-    named = members.select("text_key", "member").join(found, "member", "left").select("text_key", F.coalesce("component", "member").alias("class_id"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("member").alias("least")).filter("n > 1").select("bucket", "least")
+    stars = buckets.join(shared, "bucket").filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
+    families = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    families = materialize(families.unionByName(families.select(F.col("family").alias("doc_id"), "family").distinct()))
+    size = families.groupBy("family").agg(F.count("*").alias("n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = materialize(texts.join(families.join(size, "family").hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("family").alias("family"), F.first("n").alias("n")))
+    draw = lambda seed, m: F.pmod(F.xxhash64("doc_id", F.lit(seed)), m).cast("int")
+    blocks = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK))
+    common = (F.col("doc_id") == F.col("family")) | (draw(1, F.col("n")) < COMMON)
+    everywhere = F.when(common & (blocks > 1), F.sequence(F.lit(0), blocks.cast("int") - 1)).otherwise(F.array(draw(2, blocks)))
+    edges = materialize(_linked(texts.withColumn("cell", F.explode(everywhere))))
+    found = materialize(components(edges))
+    large = texts.filter(F.col("n") > 2 * BLOCK)
+    if not large.isEmpty():
+        now = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        parts = now.groupBy("family", "component").agg(F.count("*").alias("size"))
+        main = parts.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside")).join(size, "family").filter("inside < n")
+        now = now.drop("n").join(main, "family")
+        inner, outer = F.ceil(F.col("inside") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
+        off, own = F.col("component") != F.col("main"), draw(3, outer)
+        name = lambda x, y: F.concat_ws(" ", F.least(x, y).cast("string"), F.greatest(x, y).cast("string"))
+        with_main = lambda x, y: F.concat_ws(" ", x.cast("string"), F.lit("main"), y.cast("string"))
+        cells = F.when(off, F.concat(F.transform(F.sequence(F.lit(0), outer - 1), lambda j: name(own, j)), F.transform(F.sequence(F.lit(0), inner - 1), lambda j: with_main(own, j)))).otherwise(F.transform(F.sequence(F.lit(0), outer - 1), lambda i: with_main(i, draw(4, inner))))
+        more = _linked(now.withColumn("cell", F.explode(cells)))
+        found = materialize(components(edges.unionByName(more)))
+    named = members.select("text_key", "member").join(found.withColumnRenamed("node", "member"), "member", "left").select("text_key", F.coalesce("component", "member").alias("class_id"))
     return signed.select("doc_id", "text_key").join(named, "text_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
