@@ -125,4 +125,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES = {"op2_url_filters": OP2_SQL, "op3_topk": OP3_SQL, "op5_chat": OP5_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS x, count(*) AS n FROM w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS t(i) GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM s a JOIN s b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN t x ON x.doc_id = p.a JOIN t y ON y.doc_id = p.b WHERE p.n >= 0.8 * (x.n + y.n - p.n)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS class_id FROM documents UNION SELECT d.b, r.class_id FROM r JOIN d ON d.a = r.doc_id)
+SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY doc_id
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM w, unnest(range(1, greatest(len(w) - 48, 1))) AS t(p)),
+f AS (SELECT k, min(doc_id) AS least_ FROM s GROUP BY k),
+g AS (SELECT DISTINCT doc_id, p + i AS p FROM s JOIN f USING (k), unnest(range(0, 50)) AS t(i) WHERE doc_id > least_),
+o AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM o ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op2_url_filters": OP2_SQL, "op3_topk": OP3_SQL, "op5_chat": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path); a rule is named host + path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Public suffixes of two labels under which names are registered; any other suffix is the last label.
@@ -55,7 +57,7 @@ def host_posteriors(pages: DataFrame, labels: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), parts(F.col("url"))[0].alias("host"))
     hosts = own.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("is_bad").alias("seen"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
     domain, suffix = _levels(F.col("host"))
-    hosts = hosts.select("host", "seen", "bad", domain.alias("domain"), suffix.alias("suffix"))
+    hosts = materialize(hosts.select("host", "seen", "bad", domain.alias("domain"), suffix.alias("suffix")))  # the pages are read once for all that follows
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
