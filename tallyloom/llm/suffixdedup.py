@@ -13,11 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import mapped, materialize, memory
 
 #: Words of a window, and of the part of its prefix that names its group.
 WINDOW, GRAM = 50, 15
-#: Occurrences of a prefix beyond which its group is split, and words whose suffixes one tree holds at a time.
+#: Runs of a group beyond which it is split, and words whose suffixes one tree holds at a time.
 GROUP_ROWS, TREE_WORDS = 20_000, 400_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -29,14 +29,11 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
 
-_hashes = _Hashes()
-
-
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text or "")
 
@@ -60,7 +57,7 @@ def anchors(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
     equal grams at equal places, so a window's group follows from its words alone; neighbours mostly share theirs."""
     if len(w) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(memory("suffixdedup", _Hashes).__getitem__, w), np.uint64, len(w))
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(len(h), _ODD), dtype=np.uint64)])
     gram = (total[GRAM:] - total[:-GRAM]) * _powers(len(h) - GRAM + 1, _INVERSE)
     gram ^= gram >> np.uint64(29)
@@ -83,8 +80,21 @@ def _runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(place)))
 
 
+def _extended(w: list[str], place: int, begin: int, n: int) -> list[tuple[int, int, int]]:
+    """(group, first window, windows): a run whose anchor is too common, named by more of its words. A window with the
+    anchor in its first half has words to spare on the right, another on the left; equal windows choose alike."""
+    half = (WINDOW - GRAM) // 2
+    cut = min(max(place - half, begin), begin + n)
+    out = []
+    for at, k, words_ in ((begin, cut - begin, w[place - half - 1 : place + GRAM]), (cut, begin + n - cut, w[place : place + WINDOW - half])):
+        if k:
+            name = xxhash.xxh3_64_intdigest(" ".join(words_).encode("utf-8", "surrogatepass"), seed=len(words_))
+            out.append((name - (1 << 64) if name >> 63 else name, at, k))
+    return out
+
+
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, groups: the distinct anchors' hashes of each document."""
+    """doc_id, text_key, n_words, groups: the hash of the anchor of each run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +105,10 @@ def _surveyed(docs: DataFrame) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) if len(w) >= WINDOW else None)
                     sizes.append(len(w))
                     place, group = anchors(w)
-                    groups.append(np.unique(group[_runs(place)[0]]))
+                    groups.append(group[_runs(place)[0]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_words", "groups"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key binary, n_words long, groups array<long>")
+    return mapped(docs, run, "doc_id long, text_key binary, n_words long, groups array<long>")
 
 
 def _kept(w: list[str], windows: list[int]) -> tuple[int, str]:
@@ -130,7 +140,8 @@ def _prepared(joined: DataFrame) -> DataFrame:
                 place, group = anchors(w)
                 for begin, n in zip(*(x.tolist() for x in _runs(place)), strict=True):
                     if g := splits.get(int(group[begin])):
-                        runs.append({"group": int(group[begin]), "splits": g, "begin": begin, "windows": n, "words": " ".join(w[begin : begin + n - 1 + WINDOW])})
+                        parts = [(int(group[begin]), begin, n)] if g == 1 else _extended(w, int(place[begin]), begin, n)
+                        runs += [{"group": name, "splits": g, "begin": at, "windows": k, "words": " ".join(w[at : at + k - 1 + WINDOW])} for name, at, k in parts]
                 rows.append((doc_id, len(w), None, None, text, runs))
                 if len(rows) >= 500:
                     yield made(rows)
@@ -140,7 +151,7 @@ def _prepared(joined: DataFrame) -> DataFrame:
     def made(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, runs array<struct<group:long,splits:int,begin:long,windows:int,words:string>>")
+    return mapped(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, runs array<struct<group:long,splits:int,begin:long,windows:int,words:string>>")
 
 
 def nodes(words_: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -163,12 +174,14 @@ def _trees(runs: DataFrame, final: bool) -> DataFrame:
     within a group, not by its copies."""
     schema = pa.schema({"doc_id": pa.int64(), "begin": pa.int64(), "hits": pa.list_(pa.int64()), "group": pa.int64(), "windows": pa.int32(), "words": pa.string()})
 
+    tree_words = TREE_WORDS
+
     def tree(rows: list[tuple]) -> np.ndarray:
         """Flags, by run and window; all of a deep node's suffixes but those of its smallest document."""
         texts = [r[5].split(" ") for r in rows]
         lengths = np.array([len(t) for t in texts])
         starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, lengths.sum())
+        flat = np.fromiter(map(memory("suffixdedup", _Hashes).__getitem__, chain.from_iterable(texts)), np.uint64, lengths.sum())
         node = nodes(flat)
         counts = np.array([r[4] for r in rows])
         run = np.repeat(np.arange(len(rows)), counts)
@@ -202,21 +215,21 @@ def _trees(runs: DataFrame, final: bool) -> DataFrame:
             held, old, size = stay, len(stay), sum(len(r[5]) for r in stay) // 6
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-        limit = TREE_WORDS
+        limit = tree_words
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("group", "splits", "doc_id", "begin", "windows", "words")), strict=True):
                 if size >= limit and held and row[0] != held[-1][0]:
                     yield tell(False)
-                    limit = TREE_WORDS
-                elif size >= limit + TREE_WORDS:
+                    limit = tree_words
+                elif size >= limit + tree_words:
                     yield tell(True)
-                    limit = max(TREE_WORDS, 2 * size)  # what stays differs: the tree grows with it
+                    limit = max(tree_words, 2 * size)  # what stays differs: the tree grows with it
                 held.append(row)
                 size += row[4] + WINDOW
         if held:
             yield tell(False)
 
-    return runs.select("group", "splits", "doc_id", "begin", "windows", "words").mapInArrow(run, "doc_id long, begin long, hits array<long>, group long, windows int, words string")
+    return mapped(runs.select("group", "splits", "doc_id", "begin", "windows", "words"), run, "doc_id long, begin long, hits array<long>, group long, windows int, words string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -225,9 +238,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     A suffix (a window's start) falls in the group of its prefix up to the end of its smallest hashed gram, so prefixes
     have 15 to 50 words. Groups that occur in one document only hold no repeat and end there. The others' suffixes go,
-    as runs of neighbours, to trees, whose nodes 50 words deep say where they repeat. Groups of over 20,000 documents are
-    split by document: a first tree of each part leaves the first windows of it, a second one holds those against each
-    other. A document whose words equal those of one with a smaller id goes whole, before all that.
+    as runs of neighbours, to trees, whose nodes 50 words deep say where they repeat. A group of over 20,000 runs takes
+    33 words for its name instead of 15, which parts what merely shares a line; and as copies of a passage share even
+    those, its runs are dealt into parts: a first tree of each part leaves the first windows of it, a second one holds
+    those against each other. A document whose words equal those of one with a smaller id goes whole, before all that.
 
     Null or short texts keep all words. Rows that repeat a doc_id count as one document; a null doc_id
     neither repeats others nor is repeated. Other columns are not read; an empty table gives no rows.
@@ -243,7 +257,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     about = copies.withColumn("copy", F.lit(True)).join(hot, "doc_id", "full")
     prepared = materialize(_prepared(own.join(about, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "hot")))
     runs = prepared.filter("text is not null").select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.*")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("splits"))
+    part = F.pmod(F.xxhash64("doc_id", "begin"), F.col("splits"))
     found = materialize(_trees(runs.withColumn("part", part).repartition("group", "part").sortWithinPartitions("group", "part", "doc_id"), False))
     left = found.filter("words is not null").withColumn("splits", F.lit(1))
     again = _trees(left.repartition("group").sortWithinPartitions("group", "doc_id"), True)
@@ -256,5 +270,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             done = [_kept(words(t), h or []) for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([x for x, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    finished = open_.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    finished = mapped(open_, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return prepared.filter("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(finished)
