@@ -123,7 +123,7 @@ class Index:
                     yield int(doc_of[h]), self.ids[i], float(scores[i]), over[0], over[1]
 
 
-def _marked_once(docs: DataFrame, index: Index) -> DataFrame:
+def _marked_once(docs: DataFrame, index: Index, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = docs.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
@@ -131,7 +131,7 @@ def _marked_once(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            leaks = [list(x or []) for x in batch.column("leaks").to_pylist()]
+            leaks = [list(x or []) for x in batch.column(name).to_pylist()]
             at = 0
             while at < len(texts):
                 part, size, base = [], 0, at
@@ -144,14 +144,14 @@ def _marked_once(docs: DataFrame, index: Index) -> DataFrame:
                     best[d, item] = max(best.get((d, item), []), figures)
                 for (d, item), (score, question, answer) in sorted(best.items()):
                     leaks[base + d].append({"item_id": item, "score": score, "question": question, "answer": answer})
-            place = batch.schema.get_field_index("leaks")
+            place = batch.schema.get_field_index(name)
             yield pa.RecordBatch.from_arrays([pa.array(leaks, kind) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
     return mapped(docs, run, schema)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` with leaks: the benchmark items (item_id, score, question, answer) that some passage of the text repeats.
+def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
+    """`docs` with a column of leaks: the benchmark items (item_id, score, question, answer) that some passage of the text repeats.
 
     A passage is two halves of at least 64 words, or of the longest item's length, so that every item that lies whole in
     a text lies in a passage. Every passage queries the index: blocks of items whose summed maxima stay under the
@@ -160,13 +160,13 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are compared without case and punctuation. The index is broadcast; its items are bounded, and a larger
     benchmark takes several, one pass over the documents each, with every index's own document frequencies.
     Null or empty texts have no leaks; items with null id or without words are none; repeated items count once each.
-    Rows and other columns stay (a column leaks is replaced); no shuffle; an empty benchmark marks nothing.
+    Rows and other columns stay (a column of that name is replaced); no shuffle; an empty benchmark marks nothing.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    out = docs.select(*(c for c in docs.columns if c.lower() != "leaks"), F.array().cast("array<struct<item_id:bigint,score:double,question:double,answer:double>>").alias("leaks"))
+    out = docs.select(*(c for c in docs.columns if c.lower() != name.lower()), F.array().cast("array<struct<item_id:bigint,score:double,question:double,answer:double>>").alias(name))
     shards = ceil(items.count() / INDEX_ITEMS)
     for s in range(shards):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()]
         if any(words(t) for _, t in rows):
-            out = _marked_once(out, Index.of(rows))
+            out = _marked_once(out, Index.of(rows), name)
     return out

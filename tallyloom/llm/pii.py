@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 10
 _B, _A = r"(?<![\p{L}\p{N}_])(?<!\d[.,:/-])", r"(?![\p{L}\p{N}_])(?![.,:/-]?\d)"
 #: What may be personal: mail, IBAN, dates, social security number, card, address, phone. Validity is judged afterwards.
@@ -159,23 +161,23 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = "tallyloom") -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str = "tallyloom", count: str = "n_pseudonyms") -> DataFrame:
     """`docs` with every valid mail address, IBAN, date, social security number, card, IPv4 address and phone number in
-    `text` replaced by its pseudonym under `key`, and with n_pseudonyms, how many were. Finds that fail their check
+    `text` replaced by its pseudonym under `key`, and with a column that counts them. Finds that fail their check
     (Luhn, mod 97, calendar, octets, ranges, length) stay, as does all other text to the character.
 
     Equal values have equal pseudonyms in every document. Digits, dates and addresses are permuted, so unequal values
     never meet; a mail's local part is hashed. Null text stays null with no finds. Rows and other columns stay as they
-    are, but for a column n_pseudonyms, which is replaced. Row by row in the JVM: no shuffle, nothing to skew.
+    are, but for one of the count's name, which is replaced. Row by row in the JVM: no shuffle, nothing to skew.
     """
     text = F.col("text").cast("string")
     maybe = text.rlike("[0-9]|@")
     finds = F.when(maybe, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("_finds", finds)
-    new = F.transform("_finds", lambda m: pseudonym(m, key))
-    made = found.withColumn("_new", F.when(F.size("_finds") > 0, new))
+    old, new = unused(docs, "finds"), unused(docs, "pseudonyms")
+    found = docs.withColumn(old, finds)
+    made = found.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
     between = F.split(text, PATTERN, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size("_finds")), "_new", lambda x, y: F.concat(x, y)), ""), F.element_at(between, -1))
-    changed = F.size(F.filter(F.zip_with("_finds", "_new", lambda x, y: x != y), lambda x: x))
-    made = made.withColumns({"text": F.when(F.size("_finds") > 0, joined).otherwise(text), "n_pseudonyms": F.when(F.size("_finds") > 0, changed).otherwise(0)})
-    return made.drop("_finds", "_new")
+    joined = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(old)), new, lambda x, y: F.concat(x, y)), ""), F.element_at(between, -1))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda x, y: x != y), lambda x: x))
+    made = made.withColumns({"text": F.when(F.size(old) > 0, joined).otherwise(text), count: F.when(F.size(old) > 0, changed).otherwise(0)})
+    return made.drop(old, new)

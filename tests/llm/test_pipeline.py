@@ -46,11 +46,12 @@ def folder(spark, corpus, prose, tmp_path_factory):
 def test_stages(spark, folder):
     path, texts, items, planted = folder
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "decontamination", "pseudonyms", "packing"]
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("extra", F.lit(1))
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit("own") for c in ("score", "predicted", "leaks", "n_pseudonyms", "finds")})
     kept = [set(texts)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, path).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"], name
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "predicted", "leaks", "n_pseudonyms", "finds"], name
+        assert {tuple(r) for r in docs.select("score", "predicted", "leaks", "n_pseudonyms", "finds").distinct().collect()} == {("own",) * 5}
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     clean = set(texts) - planted["toxic"]
     assert len(kept[1] & planted["toxic"]) <= 2 and clean <= kept[1] | {i for i in clean if texts[i] and set(texts[i].lower().split()) & {"zornig", "grobian", "schuft"}}
