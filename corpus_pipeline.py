@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, neardup, packing, pii, toxicity
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import materialize, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labels of the given documents outside the held-out fold; those it rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    return toxicity.scored(docs, model, score, predicted).filter(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +28,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.marked(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+    leaks = unused(docs, "leaks")
+    return decontam.marked(docs, table(spark, sf_dir, "benchmark"), leaks).filter(F.size(leaks) == 0).select(*docs.columns)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text."""
-    return pii.pseudonymized(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymized(docs, count=unused(docs, "n_pseudonyms")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digested(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
