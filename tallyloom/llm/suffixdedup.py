@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -94,64 +93,73 @@ def _extended(w: list[str], place: int, begin: int, n: int) -> list[tuple[int, i
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, groups: the hash of the anchor of each run of windows."""
+    """doc_id, text_key, groups, runs: the distinct hashes of the anchors of runs of windows, and how many runs each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                keys, sizes, groups = [], [], []
+                keys, groups, runs = [], [], []
                 for text in batch.column(1).slice(at, 1000).to_pylist():
                     w = words(text)
                     keys.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) if len(w) >= WINDOW else None)
-                    sizes.append(len(w))
                     place, group = anchors(w)
-                    groups.append(group[_runs(place)[0]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_words", "groups"])
+                    own, many = np.unique(group[_runs(place)[0]], return_counts=True)
+                    groups.append(own)
+                    runs.append(many)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text_key", "groups", "runs"])
 
-    return mapped(docs, run, "doc_id long, text_key binary, n_words long, groups array<long>")
+    return mapped(docs, run, "doc_id long, text_key binary, groups array<long>, runs array<long>")
 
 
-def _kept(w: list[str], windows: list[int]) -> tuple[int, str]:
-    """How many words the windows cover, and the digest of the others."""
-    gone = np.zeros(len(w) + 1, np.int64)
-    for start, stop in zip(windows[::2], windows[1::2], strict=True):
-        gone[start] += 1
-        gone[stop - 1 + WINDOW] -= 1
-    gone = np.cumsum(gone[:-1]) > 0
-    left = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-    return int(gone.sum()), sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def _prepared(joined: DataFrame) -> DataFrame:
-    """Per document either its result, if nothing of it can repeat or all of it does, or its text and its runs."""
-    schema = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "text": pa.string(),
-                        "runs": pa.list_(pa.struct([("group", pa.int64()), ("splits", pa.int32()), ("begin", pa.int64()), ("windows", pa.int32()), ("words", pa.string())]))})
+def _runs_of(joined: DataFrame) -> DataFrame:
+    """doc_id and the runs (group, splits, begin, windows, words) of each document whose anchors are among its `hot` ones."""
+    schema = pa.schema({"doc_id": pa.int64(), "group": pa.int64(), "splits": pa.int32(), "begin": pa.int64(), "windows": pa.int32(), "words": pa.string()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, copy, hot in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "copy", "hot")), strict=True):
-                w, runs = words(text), []
-                if copy or not hot:
-                    whole = [0, len(w) - WINDOW + 1] if copy else []
-                    rows.append((doc_id, len(w), *_kept(w, whole), None, None))
-                    continue
-                splits = {x["group"]: x["splits"] for x in hot}
+            for doc_id, text, hot in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "hot")), strict=True):
+                w, splits = words(text), {x["group"]: x["splits"] for x in hot}
                 place, group = anchors(w)
                 for begin, n in zip(*(x.tolist() for x in _runs(place)), strict=True):
                     if g := splits.get(int(group[begin])):
                         parts = [(int(group[begin]), begin, n)] if g == 1 else _extended(w, int(place[begin]), begin, n)
-                        runs += [{"group": name, "splits": g, "begin": at, "windows": k, "words": " ".join(w[at : at + k - 1 + WINDOW])} for name, at, k in parts]
-                rows.append((doc_id, len(w), None, None, text, runs))
-                if len(rows) >= 500:
-                    yield made(rows)
+                        rows += [(doc_id, name, g, at, k, " ".join(w[at : at + k - 1 + WINDOW])) for name, at, k in parts]
+                if len(rows) >= 5000:
+                    yield _made(rows, schema)
                     rows = []
-            yield made(rows)
+            yield _made(rows, schema)
+
+    return mapped(joined, run, "doc_id long, group long, splits int, begin long, windows int, words string")
+
+
+def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
 
-    def made(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+def _cut(joined: DataFrame) -> DataFrame:
+    """doc_id, text (the words left, joined by a blank), n_words, spans: from the starts and stops of windows in `hits`."""
+    schema = pa.schema({"doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))})
 
-    return mapped(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, runs array<struct<group:long,splits:int,begin:long,windows:int,words:string>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, copy, hits in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "copy", "hits")), strict=True):
+                w, spans, left = words(text), [], []
+                windows = [(0, len(w) - WINDOW + 1)] if copy else sorted(zip(hits[::2], hits[1::2], strict=True)) if hits else []
+                for start, stop in windows:
+                    if spans and start <= spans[-1]["stop"]:
+                        spans[-1]["stop"] = max(spans[-1]["stop"], stop - 1 + WINDOW)
+                    else:
+                        spans.append({"start": start, "stop": stop - 1 + WINDOW})
+                at = 0
+                for span in spans:
+                    left += w[at : span["start"]]
+                    at = span["stop"]
+                rows.append((doc_id, " ".join(left + w[at:]), len(w), spans))
+            yield _made(rows, schema)
+
+    return mapped(joined, run, "doc_id long, text string, n_words long, spans array<struct<start:long,stop:long>>")
 
 
 def nodes(words_: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -213,7 +221,7 @@ def _trees(runs: DataFrame, final: bool) -> DataFrame:
                 if more and first and group == held[-1][0]:
                     stay.append(held[k])
             held, old, size = stay, len(stay), sum(len(r[5]) for r in stay) // 6
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+            return _made(out, schema)
 
         limit = tree_words
         for batch in batches:
@@ -233,8 +241,9 @@ def _trees(runs: DataFrame, final: bool) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: what is left of every text when each word goes that is covered by a window
-    of 50 words whose words also begin in a document with a smaller doc_id. Windows are judged on the input.
+    """doc_id, text, n_words, spans: what is left of every text, its words joined by a blank, when each word goes that is
+    covered by a window of 50 words whose words also begin in a document with a smaller doc_id; how many words there were,
+    and which spans of them went. Windows are judged on the input.
 
     A suffix (a window's start) falls in the group of its prefix up to the end of its smallest hashed gram, so prefixes
     have 15 to 50 words. Groups that occur in one document only hold no repeat and end there. The others' suffixes go,
@@ -251,24 +260,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     known = survey.filter("doc_id is not null and text_key is not null")
     first = known.groupBy("text_key").agg(F.min("doc_id").alias("least"))
     copies = materialize(known.select("doc_id", "text_key").join(first, "text_key").filter("doc_id > least").select("doc_id").distinct())
-    single = known.select("doc_id", "groups").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("groups").alias("group"))
-    met = single.groupBy("group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("group", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("splits"))
-    hot = single.join(met, "group").groupBy("doc_id").agg(F.collect_set(F.struct("group", "splits")).alias("hot"))
-    about = copies.withColumn("copy", F.lit(True)).join(hot, "doc_id", "full")
-    prepared = materialize(_prepared(own.join(about, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "hot")))
-    runs = prepared.filter("text is not null").select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.*")
+    single = known.select("doc_id", "groups", "runs").join(copies, "doc_id", "left_anti").select("doc_id", F.inline(F.arrays_zip("groups", "runs"))).withColumnRenamed("groups", "group")
+    met = single.groupBy("group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("runs").alias("n")).filter("low < high").select("group", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("splits"))
+    hot = single.select("doc_id", "group").join(met, "group").groupBy("doc_id").agg(F.collect_set(F.struct("group", "splits")).alias("hot"))
+    runs = materialize(_runs_of(own.join(hot.hint("merge"), "doc_id").select("doc_id", "text", "hot")))
     part = F.pmod(F.xxhash64("doc_id", "begin"), F.col("splits"))
     found = materialize(_trees(runs.withColumn("part", part).repartition("group", "part").sortWithinPartitions("group", "part", "doc_id"), False))
     left = found.filter("words is not null").withColumn("splits", F.lit(1))
     again = _trees(left.repartition("group").sortWithinPartitions("group", "doc_id"), True)
     hits = found.select("doc_id", "hits").unionByName(again.select("doc_id", "hits")).filter(F.size("hits") > 0)
     hits = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    open_ = prepared.filter("text is not null").select("doc_id", "n_words", "text").join(hits, "doc_id", "left")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_kept(words(t), h or []) for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([x for x, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    finished = mapped(open_, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return prepared.filter("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(finished)
+    about = copies.withColumn("copy", F.lit(True)).join(hits, "doc_id", "full")
+    return _cut(own.join(about.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "hits"))
