@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +130,9 @@ class Levels:
                 part = []
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as
-    little-endian uint32 bytes, if asked for). Every id of a document, with `end_id` after the last, lies in one piece.
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
+    """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset and ids, as little-endian
+    uint32 bytes. Every id of a document, with `end_id` after the last, lies in one piece.
 
     Each task packs its own input partition online and holds its open windows only; no shuffle. Documents longer than a
     window give full windows and a rest. At the end of a task the open windows are emptied into one another, and what
@@ -152,17 +151,15 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
             offset = 0
             for doc_id, start, length, ids, total in window:
                 part = ids[4 * start : 4 * (start + length)]
-                out.append((doc_id, start, length, crc32(part), total, base + done, offset, part))
+                out.append((doc_id, start, length, total, base + done, offset, part))
                 offset += length
             done += 1
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
             out.clear()
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            keep = 8 if with_ids else 7
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:keep], kinds[:keep], strict=True)], names[:keep])
+            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -180,5 +177,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
             close(window)
         yield flush()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema + ", ids binary" * with_ids)
+    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+
+
+def digested(pieces: DataFrame) -> DataFrame:
+    """The pieces with the CRC-32 of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

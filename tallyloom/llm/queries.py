@@ -14,7 +14,7 @@ CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digested(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = suffixdedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    return left.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op4_language, op5_chat, op6_decontamination, op7_toxicity, op8_pii, op9_near_duplicates, op10_substring_dedup)}

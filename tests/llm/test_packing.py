@@ -37,7 +37,7 @@ def check(rows, docs, size):
 @pytest.mark.parametrize("size", [16, 256])
 def test_every_id_in_one_piece_without_padding(corpus, prose, size):
     docs = {i: " ".join(prose(i, (i * 37) % 400)) for i in range(60)} | {100: None, 101: "", 102: "<|endoftext|> can't   \n\n x_y İ ΑΣ ###!!", 103: " ".join(prose(5, 3000))}
-    rows = packing.pack(corpus(list(docs.items())), PATH, size).collect()
+    rows = packing.digested(packing.pack(corpus(list(docs.items())), PATH, size)).collect()
     assert check(rows, docs, size) == 0
 
 
@@ -72,5 +72,5 @@ def test_sum_of_squares_places_where_the_sum_grows_least():
 def test_odd_tables(spark, corpus):
     assert packing.pack(corpus([]), PATH).count() == 0
     twice = corpus([(1, "ba be"), (1, "ba be"), (None, "x")]).withColumn("ids", F.lit("clash")).withColumn("length", F.lit(0))
-    rows = packing.pack(twice, PATH, 64, with_ids=True).collect()
+    rows = packing.pack(twice, PATH, 64).collect()
     assert sum(r["length"] for r in rows) == 2 * len(ids("ba be")) + len(ids("x")) and all(len(r["ids"]) == 4 * r["length"] for r in rows)
