@@ -58,8 +58,9 @@ class Answer:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog, places: dict, limits: Limits | None = None, audience: str = "open"):
+    def __init__(self, spark: SparkSession, catalog: Catalog, places: dict, limits: Limits | None = None, audience: str = "open", federated_statements: bool = True):
         self.spark, self.catalog, self.limits, self.audience = spark, catalog, limits or Limits(), audience
+        self.federated_statements = federated_statements
         self.sources = Sources(spark, places)
         self.planner = Planner(spark, catalog, self.sources, self.limits)
         self.digest = digest(catalog)
@@ -74,8 +75,11 @@ class Engine:
 
     def sql(self, text: str, models: list[str] | None = None) -> Answer:
         """A read-only statement over the tables of the admitted models (all, unless named)."""
-        admitted = [self.catalog.models[m] for m in (models or self.catalog.models)]
-        tables = {m.table: statement.view(self.sources.frame(m), m) for m in admitted if m.audience in ("open", self.audience)}
+        admitted = {m.table.lower(): m for m in (self.catalog.models[x] for x in (models or self.catalog.models)) if m.audience in ("open", self.audience)}
+        used = statement.checked(self.spark, text, set(admitted))
+        if not self.federated_statements and len({admitted[t].source for t in used}) > 1:
+            raise Refusal("too_many_sources", "a statement reads one source here")
+        tables = {admitted[t].table: statement.view(self.sources.frame(admitted[t]), admitted[t]) for t in used}
         return Answer(statement.run(self.spark, text, tables, self.limits.rows), self.digest, self.limits)
 
     def describe(self) -> list[dict]:

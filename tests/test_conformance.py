@@ -210,3 +210,27 @@ def test_describe_hides_other_audiences(spark):
         ask(e, ["total"])
     e.audience = "board"
     assert {m["metric"] for m in e.describe()} == set(MEASURES) and ask(e, ["total"])
+
+
+def test_statements_over_models(spark):
+    e = make(spark, extra=["---\nkind: model\nname: hidden\nsource: facts\ntable: secrets\naudience: board\ncolumns: [{name: region}]\n---\n"])
+    text = "SELECT r.region_name, sum(e.amount_cents) AS s FROM events e JOIN regions r ON e.region = r.region GROUP BY r.region_name ORDER BY 1"
+    assert [tuple(r) for r in e.sql(text).rows()] == [("Eastern", 500), ("Northern", 1700)]
+    e.federated_statements = False
+    with pytest.raises(Refusal, match="too_many_sources"):
+        e.sql(text)
+    assert e.sql("SELECT count(*) AS n FROM events").rows()[0]["n"] == 6
+    for bad in ("SELECT region FROM secrets", "SELECT wide, nope FROM nowhere"):
+        with pytest.raises(Refusal, match="unknown_table"):
+            e.sql(bad)
+    assert set(e.describe_tables()) == {"events", "regions"}
+
+
+def test_masks_hold_beneath_statements(spark):
+    notes = "---\nkind: model\nname: notes\nsource: facts\ntable: notes\ncolumns: [{name: id, type: BIGINT}, {name: body, text_policy: {redactions: [{pattern: 'key[0-9]+', replacement: '[key]'}], clip_bytes: 64}}]\n---\n"
+    e = make(spark, extra=[notes])
+    e.sources.places["facts"] = {"notes": spark.createDataFrame([(1, "a key12 b"), (2, "none")], "id long, body string")}.__getitem__
+    assert e.sql("SELECT id FROM notes WHERE body LIKE '%key1%'", ["notes"]).rows() == []
+    assert [tuple(r) for r in e.sql("SELECT body, length(body) AS n FROM notes WHERE body LIKE '%[key]%'", ["notes"]).rows()] == [("a [key] b", 9)]
+    with pytest.raises(Refusal, match="protected"):
+        make(spark, extra=[notes, "---\nkind: metric\nname: m\nmodel: notes\nmeasure: {simple: {aggregate: min, column: body}}\ntime_column: id\ngrains: [day]\n---\n"])
