@@ -132,7 +132,7 @@ def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
         read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         notes = Model("documents", "lake", "documents", {"doc_id": Column("doc_id"), "text": Column("text", policy=POLICY), "lang": Column("lang"), "source": Column("source")})
         frames = {"documents": statement.view(read("documents"), notes)} | {t: read(t) for t in ("orders", "customer", "nation", "region", "lineitem")}
-        return statement.run(spark, text, frames, rows=1_000_000)
+        return statement.run(spark, text, frames)
 
     return query
 

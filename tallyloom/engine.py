@@ -21,7 +21,7 @@ from .sources import Sources
 
 @dataclass(frozen=True)
 class Answer:
-    """A lazy DataFrame with where it comes from."""
+    """A lazy DataFrame of all rows with where it comes from; `rows` holds it to the limits."""
 
     df: DataFrame
     digest: str
@@ -42,7 +42,7 @@ class Answer:
         context.addJobTag(tag)
         timer.start()
         try:
-            found = self.df.collect()
+            found = self.df.limit(self.limits.rows + 1).collect()
         except Exception as e:
             if late.is_set():
                 raise Refusal("deadline_exceeded", f"{self.limits.seconds} seconds") from e
@@ -80,7 +80,7 @@ class Engine:
         if not self.federated_statements and len({admitted[t].source for t in used}) > 1:
             raise Refusal("too_many_sources", "a statement reads one source here")
         tables = {admitted[t].table: statement.view(self.sources.frame(admitted[t]), admitted[t]) for t in used}
-        return Answer(statement.run(self.spark, text, tables, self.limits.rows), self.digest, self.limits)
+        return Answer(statement.run(self.spark, text, tables), self.digest, self.limits)
 
     def describe(self) -> list[dict]:
         """What may be asked: metrics with their grains, dimensions, values and notes."""

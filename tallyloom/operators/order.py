@@ -1,4 +1,4 @@
-"""Order, top and the bound on rows."""
+"""Order and top."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..model import Top
 
 
-def ordered(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """By all keys, ascending, nulls last; one row more than may be answered, so that too many show."""
-    return df.orderBy(*(F.asc_nulls_last(k) for k in keys)).limit(rows + 1)
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By all keys, ascending, nulls last; all rows."""
+    return df.orderBy(*(F.asc_nulls_last(k) for k in keys))
 
 
 def topped(df: DataFrame, keys: list[str], period: str, measure: str, top: Top) -> DataFrame:

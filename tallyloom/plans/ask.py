@@ -219,4 +219,4 @@ class Planner:
         df = df.select(*r.keys, *(m.name for m in r.metrics))
         if r.question.top:
             return topped(df, r.keys, "period", r.metrics[-1].name, r.question.top)
-        return ordered(df, r.keys, self.limits.rows)
+        return ordered(df, r.keys)

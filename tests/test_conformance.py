@@ -234,3 +234,13 @@ def test_masks_hold_beneath_statements(spark):
     assert [tuple(r) for r in e.sql("SELECT body, length(body) AS n FROM notes WHERE body LIKE '%[key]%'", ["notes"]).rows()] == [("a [key] b", 9)]
     with pytest.raises(Refusal, match="protected"):
         make(spark, extra=[notes, "---\nkind: metric\nname: m\nmodel: notes\nmeasure: {simple: {aggregate: min, column: body}}\ntime_column: id\ngrains: [day]\n---\n"])
+
+
+def test_answers_hold_all_rows_and_only_rows_refuses(spark):
+    n = 10_050
+    e = make(spark, rows=[(D1, f"r{i:05d}", 1, None, 0, 0.0, 0, None) for i in range(n)])
+    asked = {"metrics": ["total"], "dimensions": ["region"], "grain": "day", "range": {"start": "2026-01-01", "end": "2026-01-03"}}
+    for answer in (e.ask(asked), e.sql("SELECT region, sum(amount_cents) AS total FROM events GROUP BY region ORDER BY region")):
+        assert [r["region"] for r in answer.df.collect()] == [f"r{i:05d}" for i in range(n)]
+        with pytest.raises(Refusal, match="result_too_large"):
+            answer.rows()
