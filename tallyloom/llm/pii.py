@@ -11,21 +11,39 @@ from .common import unused
 
 ROUNDS = 10
 _B, _A = r"(?<![\p{L}\p{N}_])(?<!\d[.,:/-])", r"(?![\p{L}\p{N}_])(?![.,:/-]?\d)"
+#: Characters of an IBAN by country.
+_IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(" ".join(_IBANS.values()).split())
+_BY_COUNTRY = "|".join(rf"(?:{x.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, x in _IBANS.items())
+_CARD = r"\d{4}(?<%s>[ -])(?:\d{4}\k<%s>\d{4}\k<%s>\d{4}|\d{6}\k<%s>\d{4,5})"
+_DIGIT = r"[ .()-]{0,2}\d"
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}" + _A + r"(?<=\+" + 8 * _DIGIT + 7 * f"(?:{_DIGIT}" + 7 * ")?" + ")"
 #: What may be personal: mail, IBAN, dates, social security number, card, address, phone. Validity is judged afterwards.
+#: An IBAN ends where its country's does; a phone has 8 to 15 digits, as many as it can, but leaves a card after it whole.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_+-][\p{L}\p{N}_.+-]{0,63}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    _B + rf"(?=[A-Z]{{2}}\d{{2}})(?:{_BY_COUNTRY})" + _A,
     _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _A,
     _B + r"\d{4}-\d{2}-\d{2}" + _A,
     _B + r"\d{2}[./]\d{2}[./]\d{4}" + _A,
     _B + r"\d{3}-\d{2}-\d{4}" + _A,
-    _B + r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}" + _A,
-    _B + r"\d{13,19}" + _A,
+    _B + _CARD.replace("%s", "gap") + _A,
+    _B + r"(?:(?<!\+(?:\d{1,2}[ .-]?)?)\d{13}|(?<!\+(?:\d[ .-]?)?)\d{14}|(?<!\+)\d{15}|\d{16,19})" + _A,
     r"(?<![\p{L}\p{N}_.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}_])(?!\.\d)",
-    r"(?<![\p{L}\p{N}_+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}" + _A,
-    _B + r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + _A,
+    r"(?<![\p{L}\p{N}_+])" + _PHONE + r"(?=[ ,;/]+(?:" + _CARD.replace("%s", "after") + r"|\d{13,19})" + _A + ")",
+    r"(?<![\p{L}\p{N}_+])" + _PHONE,
+    r"(?<!(?<![\p{L}\p{N}_+])\+\d{1,3}[ .-]?)" + _B + r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + _A,
 ))
 #: Days of a whole cycle of the calendar, 1800-01-01 to 2199-12-31: 146097 = 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: A place where a find starts: group 1 is the find, the match its first character alone, so that finds may start in finds.
+_STARTS = f"(?=({PATTERN}))(?s:.)"
+#: Finds of a part, whose texts are joined before the next part.
+PART = 200
 
 
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column) -> Column:
@@ -99,6 +117,16 @@ def _iban(m: Column, key: str) -> Column:
     return F.when((_mod97(flat) == 1) & (F.length(_digits(rest)) > 0) & (F.length(flat) <= 34), _written(m, F.concat(check, new))).otherwise(m)
 
 
+def _shortened(m: Column) -> Column:
+    """A find whose country is not listed, cut before the words that keep it from being an IBAN, if any do."""
+    words = F.split(m, " ")
+    cut = F.transform(F.sequence(F.size(words) - 1, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    flat = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    first = F.get(F.filter(cut, lambda x: (F.length(flat(x)) >= min(_IBANS)) & (_mod97(flat(x)) == 1)), F.lit(0))
+    unlisted = m.rlike(rf"^(?!{_LISTED})[A-Z]{{2}}\d\d[A-Z0-9 ]+ [A-Z0-9 ]+$")
+    return F.when(unlisted, F.when(_mod97(flat(m)) == 1, m).otherwise(F.coalesce(first, m))).otherwise(m)
+
+
 def _address(m: Column, key: str) -> Column:
     octet = lambda i: F.split(m, r"\.")[i].cast("int")
     good = reduce(lambda x, y: x & y, ((octet(i) <= 255) & (octet(i).cast("string") == F.split(m, r"\.")[i]) for i in range(4)))
@@ -155,7 +183,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"^[A-Z]{2}"), _iban(m, key))
         .when(m.rlike(r"^(\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})$"), _date(m, key))
         .when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), _ssn(m, key))
-        .when(m.rlike(r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4})$"), _card(m, key))
+        .when(m.rlike(rf"^(\d{{13,19}}|{_CARD.replace('%s', 'gap')})$"), _card(m, key))
         .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), _address(m, key))
         .otherwise(_phone(m, key))
     )
@@ -164,7 +192,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymized(docs: DataFrame, key: str = "tallyloom", count: str = "n_pseudonyms") -> DataFrame:
     """`docs` with every valid mail address, IBAN, date, social security number, card, IPv4 address and phone number in
     `text` replaced by its pseudonym under `key`, and with a column that counts them. Finds that fail their check
-    (Luhn, mod 97, calendar, octets, ranges, length) stay, as does all other text to the character.
+    (Luhn, mod 97, calendar, octets, ranges, length) stay, as does all other text to the character; a value that starts
+    in such a find is tried in its turn.
 
     Equal values have equal pseudonyms in every document. Digits, dates and addresses are permuted, so unequal values
     never meet; a mail's local part is hashed. Null text stays null with no finds. Rows and other columns stay as they
@@ -172,12 +201,32 @@ def pseudonymized(docs: DataFrame, key: str = "tallyloom", count: str = "n_pseud
     """
     text = F.col("text").cast("string")
     maybe = text.rlike("[0-9]|@")
-    finds = F.when(maybe, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    old, new = unused(docs, "finds"), unused(docs, "pseudonyms")
-    found = docs.withColumn(old, finds)
-    made = found.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
-    between = F.split(text, PATTERN, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(old)), new, lambda x, y: F.concat(x, y)), ""), F.element_at(between, -1))
-    changed = F.size(F.filter(F.zip_with(old, new, lambda x, y: x != y), lambda x: x))
-    made = made.withColumns({"text": F.when(F.size(old) > 0, joined).otherwise(text), count: F.when(F.size(old) > 0, changed).otherwise(0)})
-    return made.drop(old, new)
+    finds = F.when(maybe, F.regexp_extract_all(text, F.lit(_STARTS), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    old, new, rest, out = (unused(docs, name) for name in ("finds", "pseudonyms", "between", "replaced"))
+    made = docs.withColumn(old, finds)
+    made = made.withColumn(old, F.when(F.size(old) > 0, F.transform(old, _shortened)).otherwise(F.col(old)))
+    made = made.withColumns({new: F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))), rest: F.when(F.size(old) > 0, F.split(text, _STARTS, -1))})
+    made = made.withColumn(out, F.when(F.size(old) > 0, _replaced(F.col(old), F.col(new), F.col(rest))))
+    made = made.withColumns({"text": F.when(F.size(old) > 0, F.col(out)["text"]).otherwise(text), count: F.when(F.size(old) > 0, F.col(out)["n"]).otherwise(0)})
+    return made.drop(old, new, rest, out)
+
+
+def _replaced(finds: Column, new: Column, between: Column) -> Column:
+    """struct(text, n): from the left, valid finds by their pseudonyms; those that start in a replaced find are its text."""
+    state = lambda over, n, texts: F.struct(over.cast("int").alias("over"), n.cast("int").alias("n"), texts.alias("texts"))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, i: Column) -> Column:
+        """`over`: characters from here on that are replaced already; `text` reaches up to the next start."""
+        find, text = F.get(finds, i), F.concat(F.substr(F.get(finds, i), F.lit(1), F.lit(1)), F.get(between, i + 1))
+        hit = (s["over"] == 0) & (F.get(new, i) != find)
+        over = F.when(hit, F.length(find)).otherwise(s["over"])
+        piece = F.concat(F.when(hit, F.get(new, i)).otherwise(""), F.substr(text, over + 1))
+        return state(F.greatest(over - F.length(text), F.lit(0)), s["n"] + hit.cast("int"), F.concat(s["texts"], F.array(piece)))
+
+    def part(s: Column, k: Column) -> Column:
+        places = F.sequence(k * PART, F.least(k * PART + PART, F.size(finds)) - 1)
+        return F.aggregate(places, state(s["over"], s["n"], none), step, lambda e: state(e["over"], e["n"], F.concat(s["texts"], F.array(F.array_join(e["texts"], "")))))
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(finds) - 1) / PART).cast("int"))
+    return F.aggregate(parts, state(F.lit(0), F.lit(0), F.concat(none, F.slice(between, F.lit(1), F.lit(1)))), part, lambda e: F.struct(F.array_join(e["texts"], "").alias("text"), e["n"].alias("n")))

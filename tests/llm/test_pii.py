@@ -82,3 +82,26 @@ def test_odd_rows(spark, corpus):
     assert pii.pseudonymized(docs.limit(0)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_valid_values_in_finds_that_fail(run):
+    cases = {
+        "x BE68 5390 0754 7034 EUR": ["BE68 5390 0754 7034"], "x AT61 1904 3002 3457 3201 2024 y": ["AT61 1904 3002 3457 3201"], "x AT611904300234573201 EUR": ["AT611904300234573201"],
+        "+1 415 555 2671 4111 1111 1111 1111": ["+1 415 555 2671", "4111 1111 1111 1111"], "+1 415 555 2671 2024 2025 2026 x": ["+1 415 555 2671"],
+        "x 3782 822463 10005 y": ["3782 822463 10005"], "x 3056-930902-5904 y": ["3056-930902-5904"], "x AB12 4111 1111 1111 1111 y": ["4111 1111 1111 1111"],
+        "x 1234 4111 1111 1111 1111 y": ["4111 1111 1111 1111"], "x DE00 3704 0044 0532 0130 00, 10.0.0.1": ["10.0.0.1"],
+        "+1 (743) 555-3824 (212) 555-0100": ["+1 (743) 555-3824", "(212) 555-0100"],
+    }
+    for (text, values), (new, n) in zip(cases.items(), run(list(cases)), strict=True):
+        assert n == len(values) and not any(v in new for v in values), (text, new)
+        assert re.sub(r"\d", "9", new if "10.0.0.1" not in text else text) == re.sub(r"\d", "9", text)
+        for v in values:
+            at = text.index(v)
+            if "." not in v:
+                got = new[at : at + len(v)]
+                assert got != v and (luhn(re.sub(r"\D", "", got)) if v[0].isdigit() else v[0] == "+" or v[0] == "(" or mod97(got.replace(" ", ""))), (v, got)
+
+
+def test_many_finds_in_a_text(run):
+    [(text, n)] = run([" ".join(f"10.0.{i // 250}.{i % 250}" for i in range(1001)) + " end"])
+    assert n == 1001 and len(set(text.split())) == 1002 and text.endswith(" end")
