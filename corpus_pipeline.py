@@ -22,9 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays; documents with null id stay."""
-    others = neardup.classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class one row stays, of the smallest id (null last); equal texts without words are a class. Rows are told
+    apart by an id of their own, so ids may repeat or be null. Rows with null text stay."""
+    row = unused(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = neardup.classes(rows.select(F.col(row).alias("doc_id"), "text"), wordless=True).select(F.col("doc_id").alias(row), "class_id")
+    ids = rows.select(row, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("place"))
+    first = found.join(ids, row).groupBy("class_id").agg(F.min("place").alias("place")).select(F.col("place")["row"].alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

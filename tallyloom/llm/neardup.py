@@ -109,8 +109,8 @@ def similarity(a: str | None, b: str | None) -> float:
     return float(both / (n.sum() + m.sum() - both)) if both else 0.0
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (of the words; null without any), bands."""
+def _signed(docs: DataFrame, wordless: bool) -> DataFrame:
+    """doc_id, text_key (of the words; without any, of the text if `wordless`, else null), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +118,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys, found = [], []
                 for text in batch.column(1).slice(at, 1000).to_pylist():
                     w = words(text)
-                    keys.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) if w else None)
+                    known = " ".join(w) if w else "\0" + text if wordless and text is not None else None
+                    keys.append(None if known is None else xxhash.xxh3_128_digest(known.encode("utf-8", "surrogatepass")))
                     found.append(bands(signature(*bag(w))) if w else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"])
 
@@ -205,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
         forget(last)
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, wordless: bool = False) -> DataFrame:
     """doc_id, class_id: one row for each row of `docs`; a class is a connected component of texts with a weighted
     Jaccard similarity of 0.8 or more over five-word shingles, named by its smallest doc_id.
 
@@ -215,10 +216,11 @@ def classes(docs: DataFrame) -> DataFrame:
     about 512 members, each with about 16 common ones; then the members off its largest component so far, in blocks, meet
     each other and every block of that component. So every pair of a family that could join two classes is compared,
     no group is capped, no task holds more than two blocks, and no pairs are emitted, only edges of a forest.
-    Texts without words, and null doc_ids, are alone (class_id is doc_id). Rows that repeat a doc_id share a class if
+    Texts without words (if `wordless`, only null ones; equal ones are a class), and null doc_ids, are alone (class_id is
+    doc_id). Rows that repeat a doc_id share a class if
     their texts do. An empty table gives no rows.
     """
-    signed = materialize(_signed(docs))
+    signed = materialize(_signed(docs, wordless))
     members = signed.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands"))
     members = materialize(members)
     buckets = members.select("member", F.explode("bands").alias("bucket"))

@@ -77,3 +77,10 @@ def test_run_packs_what_the_stages_keep(spark, folder):
             assert n == len(tokenizer.encode(texts[i] or "", add_special_tokens=False).ids) + 1
     assert not planted["copy"] & set(sizes) and len(set(sizes) & planted["toxic"]) <= 2
     assert np.all([r["offset"] + r["length"] <= 4096 for r in rows])
+
+
+def test_near_duplicates_go_by_row(spark, corpus, prose):
+    a, b, c, d = (" ".join(prose(70 + k, 60)) for k in range(4))
+    rows = [(1, a), (1, a), (1, a), (5, a.upper()), (5, b), (None, c), (None, c), (None, d), (7, d + "!"), (8, "***"), (9, "***"), (None, "***"), (10, "---"), (11, None), (12, None)]
+    got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, corpus(rows), "").select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (7, d + "!"), (8, "***"), (10, "---"), (11, None), (12, None)], key=str)
