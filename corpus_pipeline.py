@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, neardup, packing, pii, toxicity
-from tallyloom.llm.common import materialize, table, unused
+from tallyloom.llm.common import materialize, secret, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text."""
-    return pii.pseudonymized(docs, count=unused(docs, "n_pseudonyms")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymized(docs, secret(spark), unused(docs, "n_pseudonyms")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

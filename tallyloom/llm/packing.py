@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -20,37 +21,45 @@ WORD_MEMORY = 600_000
 class _Words:
     """word -> its ids as little-endian uint32 bytes. Words between blanks never merge in this tokenizer, nor do letters
     with the punctuation after them, and the case of ASCII letters does not count: so every new row of letters, and of
-    punctuation, is encoded once, many in one text, where the last id of each is a word end. Other words are encoded whole."""
+    punctuation, is encoded once, many in one text, where the last id of each is a word end. Only rows that have stood
+    this test are joined; letters that the tokenizer writes as more than letters, and other words, are encoded whole."""
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}  # rows of letters, or of punctuation, that may be joined
+
     def learn(self, words: Iterable[str]) -> None:
-        made, odd, known = [], [], self.known
+        made, odd, known, parts = [], [], self.known, self.parts
         for word in words:
             letters = word.rstrip(self.MARKS)
-            if letters.isalpha():
-                made.append((word, letters.lower() if letters.isascii() else letters, word[len(letters) :]))
+            if letters.isascii() and letters.isalpha():
+                made.append((word, letters.lower(), word[len(letters) :]))
+            elif letters.isalpha() and normalize("NFC", letters).lower().isalpha() and normalize("NFKD", letters).lower().isalpha():
+                made.append((word, letters, word[len(letters) :]))
             else:
                 odd.append(word)
-        rows = list({x for _, *pair in made for x in pair}.difference(known))
+        rows = list({x for _, *pair in made for x in pair}.difference(parts))
         if rows:
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(rows)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(rows) and stops[-1] == len(ids):
                 data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-                known.update((w, data[x:y]) for w, x, y in zip(rows, cuts, cuts[1:], strict=False))
-            else:
-                odd, made = [*odd, *(w for w, _, _ in made)], []
+                parts.update((w, data[x:y]) for w, x, y in zip(rows, cuts, cuts[1:], strict=False))
         for word, letters, marks in made:
-            known[word] = known[letters] + known[marks]
+            if letters in parts and marks in parts:
+                known[word] = parts[letters] + parts[marks]
+            else:
+                odd.append(word)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
             known[word] = np.asarray(found.ids, "<u4").tobytes()
 
@@ -59,7 +68,7 @@ class _Words:
         new = set(words).difference(self.known)
         if new:
             if len(self.known) > WORD_MEMORY:
-                self.known = {"": b""}
+                self.forget()
                 new = set(words) - {""}
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
@@ -69,6 +78,14 @@ def _encoder(path: str):
     return memory(("packing", path), lambda: _Words(path)).encode
 
 
+def _split(piece: tuple, room: int) -> tuple[tuple, tuple | None]:
+    """The first ids of a piece, as many as there is room for, and what is left of it."""
+    document, start, length, ids, *more = piece
+    if length <= room:
+        return piece, None
+    return (document, start, room, ids[: 4 * room], *more), (document, start + room, length - room, ids[4 * room :], *more)
+
+
 class Levels:
     """Open windows by fill level; `count[h]` windows hold h ids. A piece goes where the sum of squared counts ends smallest."""
 
@@ -108,23 +125,21 @@ class Levels:
             fullest += 1
             gap = self.size - fill
             while gap:
-                document, start, length, *more = pieces.popleft()
-                used = min(gap, length)
-                window.append((document, start, used, *more))
-                gap, total = gap - used, total - used
-                if used < length:
-                    pieces.appendleft((document, start + used, length - used, *more))
+                piece, rest = _split(pieces.popleft(), gap)
+                window.append(piece)
+                gap, total = gap - piece[2], total - piece[2]
+                if rest:
+                    pieces.appendleft(rest)
             yield window
         part, room = [], 0
         while pieces:
             if not room:
                 room = 1 << (total.bit_length() - 1)
-            document, start, length, *more = pieces.popleft()
-            used = min(room, length)
-            part.append((document, start, used, *more))
-            room, total = room - used, total - used
-            if used < length:
-                pieces.appendleft((document, start + used, length - used, *more))
+            piece, rest = _split(pieces.popleft(), room)
+            part.append(piece)
+            room, total = room - piece[2], total - piece[2]
+            if rest:
+                pieces.appendleft(rest)
             if not room:
                 yield part
                 part = []
@@ -136,7 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
     Each task packs its own input partition online and holds its open windows only; no shuffle. Documents longer than a
     window give full windows and a rest. At the end of a task the open windows are emptied into one another, and what
-    is left of the last is cut at powers of two, so that nothing is padded.
+    is left of the last is cut at powers of two, so that nothing is padded. A window holds its own ids only, so beside the
+    ids of the text at hand, however long, a task's memory is that of its open windows.
     Null or empty text: the end id alone. A null or repeated doc_id is packed as it is. Other columns are not read.
     An empty table gives no rows. Rows of a partition are packed in the order in which they come.
     """
@@ -150,8 +166,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
             nonlocal done
             offset = 0
             for doc_id, start, length, ids, total in window:
-                part = ids[4 * start : 4 * (start + length)]
-                out.append((doc_id, start, length, total, base + done, offset, part))
+                out.append((doc_id, start, length, total, base + done, offset, ids))
                 offset += length
             done += 1
 
@@ -167,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
-                    piece = (doc_id, start, length, ids, total)
+                    piece = (doc_id, start, length, ids[4 * start : 4 * (start + length)], total)
                     if length == size:
                         close([piece])
                     elif full := levels.place(piece, length):

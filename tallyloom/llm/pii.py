@@ -21,11 +21,15 @@ _LISTED = "|".join(" ".join(_IBANS.values()).split())
 _BY_COUNTRY = "|".join(rf"(?:{x.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, x in _IBANS.items())
 _CARD = r"\d{4}(?<%s>[ -])(?:\d{4}\k<%s>\d{4}\k<%s>\d{4}|\d{6}\k<%s>\d{4,5})"
 _DIGIT = r"[ .()-]{0,2}\d"
-_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}" + _A + r"(?<=\+" + 8 * _DIGIT + 7 * f"(?:{_DIGIT}" + 7 * ")?" + ")"
-#: What may be personal: mail, IBAN, dates, social security number, card, address, phone. Validity is judged afterwards.
-#: An IBAN ends where its country's does; a phone has 8 to 15 digits, as many as it can, but leaves a card after it whole.
-PATTERN = "|".join((
-    r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_+-][\p{L}\p{N}_.+-]{0,63}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}" + _A + r"(?<=\+" + 8 * _DIGIT + 7 * f"(?:{_DIGIT}" + 7 * ")?" + ")"
+#: Country calling codes, no one the start of another.
+_CODES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])\d)"
+_MAIL = r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_+-][\p{L}\p{N}_.+-]{0,63}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+#: What may be personal but mail: IBAN, dates, social security number, card, address, phone. Validity is judged afterwards.
+#: An IBAN ends where its country's does; a phone has ten digits after the code 1, else 8 to 15 in all, as many as it can,
+#: but leaves a card after it whole.
+#: No value starts with another character than those looked for first, which keeps prose cheap.
+_NUMBERS = r"(?=[0-9A-Z+(])(?:" + "|".join((
     _B + rf"(?=[A-Z]{{2}}\d{{2}})(?:{_BY_COUNTRY})" + _A,
     _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _A,
     _B + r"\d{4}-\d{2}-\d{2}" + _A,
@@ -34,18 +38,26 @@ PATTERN = "|".join((
     _B + _CARD.replace("%s", "gap") + _A,
     _B + r"(?:(?<!\+(?:\d{1,2}[ .-]?)?)\d{13}|(?<!\+(?:\d[ .-]?)?)\d{14}|(?<!\+)\d{15}|\d{16,19})" + _A,
     r"(?<![\p{L}\p{N}_.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}_])(?!\.\d)",
-    r"(?<![\p{L}\p{N}_+])" + _PHONE + r"(?=[ ,;/]+(?:" + _CARD.replace("%s", "after") + r"|\d{13,19})" + _A + ")",
-    r"(?<![\p{L}\p{N}_+])" + _PHONE,
+    r"(?<![\p{L}\p{N}_+])\+1(?:[ .()-]{0,2}\d){10}" + _A,
+    r"(?<![\p{L}\p{N}_+])(?!\+1)" + _PHONE + r"(?=[ ,;/]+(?:" + _CARD.replace("%s", "after") + r"|\d{13,19})" + _A + ")",
+    r"(?<![\p{L}\p{N}_+])(?!\+1)" + _PHONE,
     r"(?<!(?<![\p{L}\p{N}_+])\+\d{1,3}[ .-]?)" + _B + r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + _A,
-))
+)) + ")"
+PATTERN = f"{_MAIL}|{_NUMBERS}"
 #: Days of a whole cycle of the calendar, 1800-01-01 to 2199-12-31: 146097 = 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
-#: A place where a find starts: group 1 is the find, the match its first character alone, so that finds may start in finds.
-_STARTS = f"(?=({PATTERN}))(?s:.)"
+#: Marks around a find, put before its place in the text; and what stands for them, and for itself, where a text has them.
+_OPEN, _CLOSE, _ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2"
+_HIDDEN = ((_ESCAPE, _ESCAPE + "\ufdd3"), (_OPEN, _ESCAPE + "\ufdd4"), (_CLOSE, _ESCAPE + "\ufdd5"))
 #: Finds of a part, whose texts are joined before the next part.
 PART = 200
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column) -> Column:
     """struct(l, r): a keyed permutation of the pairs with 0 <= l < a, 0 <= r < b (longs up to 10^15). Rounds add a hash of
     one half to the other in turn, so every round can be undone and no two values meet."""
@@ -67,19 +79,26 @@ def _digits(text: Column) -> Column:
 
 def _permuted(digits: Column, key: str, tweak: str) -> Column:
     """Digits of up to 30 places, permuted among all digits of that length."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
-    left, right = F.substr(digits, F.lit(1), half), F.substr(digits, half + 1)
-    size = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-    out = feistel(F.when(half == 0, F.lit("0")).otherwise(left).cast("long"), right.cast("long"), size(half), size(n - half), key, F.concat(F.lit(tweak), n.cast("string")))
-    return F.concat(F.when(half == 0, F.lit("")).otherwise(F.lpad(out["l"].cast("string"), half, "0")), F.lpad(out["r"].cast("string"), n - half, "0"))
+
+    def made(d: Column) -> Column:
+        n = F.length(d)
+        half = F.floor(n / 2).cast("int")
+        left, right = F.substr(d, F.lit(1), half), F.substr(d, half + 1)
+        size = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
+        mixed = feistel(F.when(half == 0, F.lit("0")).otherwise(left).cast("long"), right.cast("long"), size(half), size(n - half), key, F.concat(F.lit(tweak), n.cast("string")))
+        return let(mixed, lambda out: F.concat(F.when(half == 0, F.lit("")).otherwise(F.lpad(out["l"].cast("string"), half, "0")), F.lpad(out["r"].cast("string"), n - half, "0")))
+
+    return let(digits, made)
 
 
 def _written(like: Column, digits: Column) -> Column:
     """`digits` in the places of the digits of `like`; all else stays."""
-    before = lambda i: F.length(_digits(F.substr(like, F.lit(1), i)))
-    char = lambda i: F.substr(like, i, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), lambda i: F.when(char(i).between("0", "9"), F.substr(digits, before(i), F.lit(1))).otherwise(char(i))), "")
+
+    def step(s: Column, c: Column, d: Column) -> Column:
+        is_digit = c.between("0", "9")
+        return F.struct(F.concat(s["text"], F.when(is_digit, F.substr(d, s["at"], F.lit(1))).otherwise(c)).alias("text"), (s["at"] + is_digit.cast("int")).alias("at"))
+
+    return let(digits, lambda d: F.aggregate(F.split(like, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), lambda s, c: step(s, c, d), lambda s: s["text"]))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -102,19 +121,26 @@ def _mod97(iban: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    body = _permuted(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return F.when(_luhn_sum(d) % 10 == 0, _written(m, F.concat(body, check.cast("string")))).otherwise(m)
+    def made(d: Column) -> Column:
+        body = _permuted(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
+        whole = let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
+        return F.when(_luhn_sum(d) % 10 == 0, _written(m, whole)).otherwise(m)
+
+    return let(_digits(m), made)
 
 
 def _iban(m: Column, key: str) -> Column:
-    flat = F.replace(m, F.lit(" "), F.lit(""))
-    rest = F.substr(flat, F.lit(5))
-    new = _permuted(_digits(rest), key, "iban")
-    body = F.concat(F.substr(flat, F.lit(1), F.lit(2)), F.lit("00"), _written(rest, new))
-    check = F.lpad((98 - _mod97(body)).cast("string"), 2, "0")
-    return F.when((_mod97(flat) == 1) & (F.length(_digits(rest)) > 0) & (F.length(flat) <= 34), _written(m, F.concat(check, new))).otherwise(m)
+    def made(flat: Column) -> Column:
+        rest = F.substr(flat, F.lit(5))
+
+        def checked(new: Column) -> Column:
+            body = F.concat(F.substr(flat, F.lit(1), F.lit(2)), F.lit("00"), _written(rest, new))
+            return F.concat(F.lpad((98 - _mod97(body)).cast("string"), 2, "0"), new)
+
+        whole = let(_permuted(_digits(rest), key, "iban"), checked)
+        return F.when((_mod97(flat) == 1) & (F.length(_digits(rest)) > 0) & (F.length(flat) <= 34), _written(m, whole)).otherwise(m)
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
 def _shortened(m: Column) -> Column:
@@ -131,49 +157,90 @@ def _address(m: Column, key: str) -> Column:
     octet = lambda i: F.split(m, r"\.")[i].cast("int")
     good = reduce(lambda x, y: x & y, ((octet(i) <= 255) & (octet(i).cast("string") == F.split(m, r"\.")[i]) for i in range(4)))
     size = F.lit(65536).cast("long")
-    out = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), size, size, key, F.lit("ip"))
-    parts = [F.floor(out["l"] / 256), out["l"] % 256, F.floor(out["r"] / 256), out["r"] % 256]
-    return F.when(good, F.concat_ws(".", *(p.cast("string") for p in parts))).otherwise(m)
+    mixed = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), size, size, key, F.lit("ip"))
+    parts = lambda out: (F.floor(out["l"] / 256), out["l"] % 256, F.floor(out["r"] / 256), out["r"] % 256)
+    return F.when(good, let(mixed, lambda out: F.concat_ws(".", *(p.cast("string") for p in parts(out))))).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
     """Year first; else day first with points, and month first (day first, if that is no date) with slashes."""
-    kinds = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d\d\.\d\d\.", "dd.MM.yyyy"), (r"^\d\d/\d\d/", "MM/dd/yyyy"), (r"^\d\d/\d\d/", "dd/MM/yyyy")]
-    out = m
-    for shape, form in reversed(kinds):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        p = feistel(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), key, F.lit("date"))
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-        out = F.when(m.rlike(shape) & day.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(moved, form)).otherwise(out)
-    return out
+    forms = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
+    read = lambda form: F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    found = lambda day, form: F.struct(day.alias("day"), F.lit(form).alias("form"))
+    slashed = let(read(forms[2]), lambda day: F.when(day.isNotNull(), found(day, 2)).otherwise(found(read(forms[3]), 3)))
+    which = F.when(m.contains("-"), found(read(forms[0]), 0)).when(m.contains("."), found(read(forms[1]), 1)).otherwise(slashed)
+
+    def moved(s: Column) -> Column:
+        size = [F.lit(n).cast("long") for n in DAYS]
+        mixed = feistel(F.floor(s["day"] / DAYS[1]), s["day"] % DAYS[1], *size, key, F.lit("date"))
+        new = let(mixed, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int")))
+        written = let(new, lambda d: F.coalesce(*(F.when(s["form"] == k, F.date_format(d, form)) for k, form in enumerate(forms))))
+        return F.when(s["day"].between(0, DAYS[0] * DAYS[1] - 1), written).otherwise(m)
+
+    return let(which, moved)
 
 
 def _ssn(m: Column, key: str) -> Column:
     """Areas 1 .. 899 but 666, groups 1 .. 99, serials 1 .. 9999, onto the same."""
     area, group, serial = F.substr(m, F.lit(1), F.lit(3)).cast("int"), F.substr(m, F.lit(5), F.lit(2)).cast("int"), F.substr(m, F.lit(8), F.lit(4)).cast("int")
     good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    out = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn"))
-    new = out["l"] + F.when(out["l"] >= 665, 2).otherwise(1)
+    mixed = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn"))
     pad = lambda c, k: F.lpad(c.cast("string"), k, "0")
-    return F.when(good, F.concat_ws("-", pad(new, 3), pad(F.floor(out["r"] / 9999) + 1, 2), pad(out["r"] % 9999 + 1, 4))).otherwise(m)
+    written = lambda out: F.concat_ws("-", pad(out["l"] + F.when(out["l"] >= 665, 2).otherwise(1), 3), pad(F.floor(out["r"] / 9999) + 1, 2), pad(out["r"] % 9999 + 1, 4))
+    return F.when(good, let(mixed, written)).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A country's code stays; so do the digits' places."""
-    code = F.length(_digits(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)))
-    d = _digits(m)
-    own = F.substr(d, code + 1)
-    return F.when(F.length(d).between(8, 15), _written(m, F.concat(F.substr(d, F.lit(1), code), _permuted(own, key, "phone")))).otherwise(m)
+    """With a plus: a listed country's code, which stays, and 8 to 15 digits in all, after the code 1 ten. Without one: ten
+    digits. The digits' places stay."""
+
+    def made(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(d, "^" + _CODES, 0)).otherwise("")
+        good = F.when(~m.startswith("+"), F.length(d) == 10).otherwise((code != "") & F.length(d).between(8, 15) & ((code != "1") | (F.length(d) == 11)))
+        return F.when(good, _written(m, let(code, lambda c: F.concat(c, _permuted(F.substr(d, F.length(c) + 1), key, "phone"))))).otherwise(m)
+
+    return let(_digits(m), made)
+
+
+_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(chars: Column, key: str, tweak: Column) -> Column:
+    """An array of up to 64 characters of _ALPHABET, permuted among all arrays of its length: the Feistel rounds add the bytes of
+    a hash of one half to the places of the other."""
+
+    def add(to: Column, half: Column, i: Column) -> Column:
+        hashed = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.array_join(half, "")), 256)
+        byte = lambda h, k: F.conv(F.substr(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+        return let(hashed, lambda h: F.transform(to, lambda c, k: F.substr(F.lit(_ALPHABET), F.pmod(F.instr(F.lit(_ALPHABET), c) - 1 + byte(h, k), F.lit(36)) + 1, F.lit(1))))
+
+    def round_(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, add(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(add(s["r"], s["l"], i)).alias("r"))
+
+    half = F.floor(F.size(chars) / 2).cast("int")
+    start = F.struct(F.slice(chars, F.lit(1), half).alias("l"), F.slice(chars, half + 1, F.size(chars)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _mail(m: Column, key: str) -> Column:
-    """The domain stays; the local part becomes as many letters and digits of a keyed hash, points in their places.
-    Short parts become 8 letters, so that two seldom meet."""
-    local = F.substring_index(m, "@", 1)
-    hashed = F.translate(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(m)), 256), "0123456789", "ghijklmnop")
-    n = F.greatest(F.least(F.length(local), F.lit(64)), F.lit(8))
-    name = F.substr(hashed, F.lit(1), n)
-    return F.concat(name, F.lit("@"), F.substring_index(m, "@", -1))
+    """The domain stays; the letters a to z (without case) and digits of the local part are permuted, all else in it stays.
+    Addresses that differ in more than case never meet; a local part without either becomes 16 letters of a keyed hash."""
+    local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
+
+    def made(chars: Column) -> Column:
+        own = F.filter(chars, lambda c: F.instr(F.lit(_ALPHABET), c) > 0)
+
+        def step(s: Column, c: Column, new: Column) -> Column:
+            moves = F.instr(F.lit(_ALPHABET), c) > 0
+            return F.struct(F.concat(s["text"], F.when(moves, F.get(new, s["at"])).otherwise(c)).alias("text"), (s["at"] + moves.cast("int")).alias("at"))
+
+        written = lambda new: F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), lambda s, c: step(s, c, new), lambda s: s["text"])
+        hashed = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), local), 256), 1, 16), "0123456789", "ghijklmnop")
+        shape = F.concat(F.lit("mail"), F.size(own).cast("string"), F.lower(domain))
+        return F.when(F.size(own) > 0, let(_letters(own, key, shape), written)).otherwise(hashed)
+
+    return F.concat(let(F.split(local, ""), made), F.lit("@"), domain)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -189,44 +256,65 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = "tallyloom", count: str = "n_pseudonyms") -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str, count: str = "n_pseudonyms") -> DataFrame:
     """`docs` with every valid mail address, IBAN, date, social security number, card, IPv4 address and phone number in
-    `text` replaced by its pseudonym under `key`, and with a column that counts them. Finds that fail their check
-    (Luhn, mod 97, calendar, octets, ranges, length) stay, as does all other text to the character; a value that starts
-    in such a find is tried in its turn.
-
-    Equal values have equal pseudonyms in every document. Digits, dates and addresses are permuted, so unequal values
-    never meet; a mail's local part is hashed. Null text stays null with no finds. Rows and other columns stay as they
-    are, but for one of the count's name, which is replaced. Row by row in the JVM: no shuffle, nothing to skew.
+    `text` replaced by its pseudonym under `key`, which is a secret, and with a column that counts them. Finds that fail
+    their check (Luhn, mod 97, calendar, octets, ranges, country and length) stay, as does all other text to the
+    character; a value that starts in such a find is tried in its turn.
+
+    Equal values have equal pseudonyms in every document, and unequal values of a kind never meet, as all are permuted
+    (mail without regard to case). A value may by chance be its own pseudonym. Null text stays null with no finds; texts
+    of any length are read in one pass of a pattern. Rows and other columns stay as they are, but for one of the count's
+    name, which is replaced. Row by row in the JVM: no shuffle, nothing to skew.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col("text").cast("string")
-    maybe = text.rlike("[0-9]|@")
-    finds = F.when(maybe, F.regexp_extract_all(text, F.lit(_STARTS), F.lit(1))).otherwise(F.array().cast("array<string>"))
     old, new, rest, out = (unused(docs, name) for name in ("finds", "pseudonyms", "between", "replaced"))
-    made = docs.withColumn(old, finds)
-    made = made.withColumn(old, F.when(F.size(old) > 0, F.transform(old, _shortened)).otherwise(F.col(old)))
-    made = made.withColumns({new: F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))), rest: F.when(F.size(old) > 0, F.split(text, _STARTS, -1))})
-    made = made.withColumn(out, F.when(F.size(old) > 0, _replaced(F.col(old), F.col(new), F.col(rest))))
-    made = made.withColumns({"text": F.when(F.size(old) > 0, F.col(out)["text"]).otherwise(text), count: F.when(F.size(old) > 0, F.col(out)["n"]).otherwise(0)})
+    made = docs.withColumn(rest, F.when(text.rlike("[0-9@]"), F.split(_marked(text), _OPEN, -1)).otherwise(F.array().cast("array<string>")))
+    found = lambda c: F.when(F.size(rest) > 1, c)
+    finds = F.transform(F.slice(rest, F.lit(2), F.size(rest)), lambda x: _shortened(_shown(F.substring_index(x, _CLOSE, 1))))
+    made = made.withColumn(old, found(finds))
+    made = made.withColumn(new, found(F.transform(old, lambda m: pseudonym(m, key))))
+    made = made.withColumn(out, found(_replaced(F.col(old), F.col(new), F.transform(rest, lambda x: _shown(F.substring_index(x, _CLOSE, -1))))))
+    made = made.withColumns({"text": F.when(F.size(rest) > 1, F.col(out)["text"]).otherwise(text), count: F.when(F.size(rest) > 1, F.col(out)["n"]).otherwise(0)})
     return made.drop(old, new, rest, out)
 
 
+def _marked(text: Column) -> Column:
+    """The text with every find between marks put in before the place where it starts; finds may start in finds."""
+    marks = F.lit(f"{_OPEN}$1{_CLOSE}")
+    for plain, hidden in _HIDDEN:
+        text = F.when(text.contains(plain), F.replace(text, F.lit(plain), F.lit(hidden))).otherwise(text)
+    return F.when(text.contains("@"), F.regexp_replace(text, F.lit(f"(?=({PATTERN}))"), marks)).otherwise(F.regexp_replace(text, F.lit(f"(?=({_NUMBERS}))"), marks))
+
+
+def _shown(text: Column) -> Column:
+    for plain, hidden in reversed(_HIDDEN):
+        text = F.when(text.contains(hidden), F.replace(text, F.lit(hidden), F.lit(plain))).otherwise(text)
+    return text
+
+
 def _replaced(finds: Column, new: Column, between: Column) -> Column:
-    """struct(text, n): from the left, valid finds by their pseudonyms; those that start in a replaced find are its text."""
+    """struct(text, n): from the left, valid finds by their pseudonyms; those that start in a replaced find are its text.
+    `between`: the text before the first find, then the texts from each find's start up to the next start."""
     state = lambda over, n, texts: F.struct(over.cast("int").alias("over"), n.cast("int").alias("n"), texts.alias("texts"))
     none = F.array().cast("array<string>")
 
-    def step(s: Column, i: Column) -> Column:
-        """`over`: characters from here on that are replaced already; `text` reaches up to the next start."""
-        find, text = F.get(finds, i), F.concat(F.substr(F.get(finds, i), F.lit(1), F.lit(1)), F.get(between, i + 1))
+    def step(s: Column, i: Column, parts: Column) -> Column:
+        """`over`: characters from here on that are replaced already."""
+        find, text = F.get(finds, i), F.get(parts, i + 1)
         hit = (s["over"] == 0) & (F.get(new, i) != find)
         over = F.when(hit, F.length(find)).otherwise(s["over"])
         piece = F.concat(F.when(hit, F.get(new, i)).otherwise(""), F.substr(text, over + 1))
         return state(F.greatest(over - F.length(text), F.lit(0)), s["n"] + hit.cast("int"), F.concat(s["texts"], F.array(piece)))
 
-    def part(s: Column, k: Column) -> Column:
+    def part(s: Column, k: Column, parts: Column) -> Column:
         places = F.sequence(k * PART, F.least(k * PART + PART, F.size(finds)) - 1)
-        return F.aggregate(places, state(s["over"], s["n"], none), step, lambda e: state(e["over"], e["n"], F.concat(s["texts"], F.array(F.array_join(e["texts"], "")))))
+        return F.aggregate(places, state(s["over"], s["n"], none), lambda s, i: step(s, i, parts), lambda e: state(e["over"], e["n"], F.concat(s["texts"], F.array(F.array_join(e["texts"], "")))))
+
+    def whole(parts: Column) -> Column:
+        ks = F.sequence(F.lit(0), F.floor((F.size(finds) - 1) / PART).cast("int"))
+        return F.aggregate(ks, state(F.lit(0), F.lit(0), F.concat(none, F.slice(parts, F.lit(1), F.lit(1)))), lambda s, k: part(s, k, parts), lambda e: F.struct(F.array_join(e["texts"], "").alias("text"), e["n"].alias("n")))
 
-    parts = F.sequence(F.lit(0), F.floor((F.size(finds) - 1) / PART).cast("int"))
-    return F.aggregate(parts, state(F.lit(0), F.lit(0), F.concat(none, F.slice(between, F.lit(1), F.lit(1)))), part, lambda e: F.struct(F.array_join(e["texts"], "").alias("text"), e["n"].alias("n")))
+    return let(between, whole)

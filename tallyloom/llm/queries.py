@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, neardup, packing, pii, suffixdedup, topk, toxicity, url_reputation
-from .common import table
+from .common import secret, table
 from .sampling import held_out
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -50,7 +50,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymized(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    return pii.pseudonymized(table(spark, sf_dir, "documents"), secret(spark)).select("doc_id", "text", "n_pseudonyms")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -49,6 +50,30 @@ def test_words_are_encoded_as_in_the_whole_text():
             assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_one_encoder_stays_right_in_any_order():
+    """Every letter that has a decomposition or another lower case, alone and with punctuation, over one long-lived encoder."""
+    tokenizer, rng = Tokenizer.from_file(PATH), np.random.default_rng(5)
+    letters = [c for c in map(chr, [*range(0x80, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0xFFE0)]) if c.isalpha() and (normalize("NFKD", c) != c or c.lower() != c)]
+    words = [w for c in letters for w in (c, f"ka{c}", f"{c}ka", f"{c}.", f"BELGES{c}", f"BELGES{c}.", f"ka{c}ka!?")]
+    words += "BELGESİ BELGESİ. belgesi क़ क़. फ़ा फ़ा, ড় ড়! ਸ਼ ਸ਼?".split(" ")
+    rng.shuffle(words)
+    encode = packing._Words(PATH).encode
+    for k in range(0, len(words), 11):
+        text = " ".join(words[k : k + 11])
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_open_windows_hold_their_own_ids_only():
+    levels, held = packing.Levels(4096), 0
+    ids = b"\1\0\0\0" * 10_000_000
+    for k in range(20):
+        levels.place((k, 9_999_000, 1000 - k, ids[4 * 9_999_000 : 4 * (9_999_000 + 1000 - k)], 10_000_000), 1000 - k)
+    held = sum(len(p[3]) for windows in levels.open.values() for w in windows for p in w)
+    assert held <= 4 * 20 * 1000
+    for window in levels.rest():
+        assert all(len(p[3]) == 4 * p[2] for p in window)
+
+
 def test_sum_of_squares_places_where_the_sum_grows_least():
     rng = np.random.default_rng(3)
     levels = packing.Levels(20)

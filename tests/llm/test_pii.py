@@ -29,7 +29,7 @@ def reference(left, right, a, b, key, tweak):
 @pytest.fixture(scope="module")
 def run(corpus):
     def do(texts):
-        rows = pii.pseudonymized(corpus(list(enumerate(texts)))).select("doc_id", "text", "n_pseudonyms").collect()
+        rows = pii.pseudonymized(corpus(list(enumerate(texts))), "k").select("doc_id", "text", "n_pseudonyms").collect()
         return [tuple(r)[1:] for r in sorted(rows)]
 
     return do
@@ -75,11 +75,11 @@ def test_equal_values_stay_linked_and_others_apart(run):
 
 def test_odd_rows(spark, corpus):
     docs = corpus([(1, None), (2, "mail a@b.de" * 1), (2, "mail a@b.de"), (None, "1.2.3.4 1.2.3.4"), (3, "x" * 300_000 + " 4111111111111111")]).withColumn("n_pseudonyms", F.lit("clash")).withColumn("_m", F.lit(1))
-    out = pii.pseudonymized(docs)
+    out = pii.pseudonymized(docs, "k")
     assert out.columns == docs.columns
     got = {(r["doc_id"], r["n_pseudonyms"]) for r in out.collect()}
     assert got == {(1, 0), (2, 1), (None, 2), (3, 1)} and out.filter("text is null").count() == 1
-    assert pii.pseudonymized(docs.limit(0)).count() == 0
+    assert pii.pseudonymized(docs.limit(0), "k").count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -105,3 +105,44 @@ def test_valid_values_in_finds_that_fail(run):
 def test_many_finds_in_a_text(run):
     [(text, n)] = run([" ".join(f"10.0.{i // 250}.{i % 250}" for i in range(1001)) + " end"])
     assert n == 1001 and len(set(text.split())) == 1002 and text.endswith(" end")
+
+
+def plain_mail(local, domain, key):
+    """The same rounds in plain Python."""
+    own = [c for c in local if c in pii._ALPHABET]
+    half = len(own) // 2
+    left, right = own[:half], own[half:]
+    tweak = f"mail{len(own)}{domain}"
+    for i in range(pii.ROUNDS):
+        h = bytes.fromhex(sha256(f"{key}|{tweak}|{i}|{''.join(right if i % 2 == 0 else left)}".encode()).hexdigest())
+        moved = [pii._ALPHABET[(pii._ALPHABET.index(c) + h[k]) % 36] for k, c in enumerate(left if i % 2 == 0 else right)]
+        left, right = (moved, right) if i % 2 == 0 else (left, moved)
+    new = iter(left + right)
+    return "".join(next(new) if c in pii._ALPHABET else c for c in local)
+
+
+def test_mail_is_permuted_in_its_format(run):
+    names = ["jane.doe+x", "a", "ab", "x_1-é.ß", "JANE.DOE+X", "q" * 64] + [f"user{i}" for i in range(300)]
+    out = [t for t, n in run([f"<{n}@mail.Example.org>" for n in names])]
+    assert out == [f"<{plain_mail(n.lower(), 'mail.example.org', 'k')}@mail.Example.org>" for n in names]
+    assert out[0] == out[4] and len(set(out)) == len(names) - 1
+
+
+def test_phones_need_a_country_and_its_length(run):
+    stay = ["+1 555 0100 x", "+0 1234 567890", "+83 12345678", "+999 12 34", "+1 415 555 26710"]
+    assert run(stay) == [(t, 0) for t in stay]
+    phones = ["+1 (017) 555-7713", "+14155552671", "+49 30 901820", "+4930901820", "+44 20 7946 0958", "+358 9 1234567", "(212) 555-0100"]
+    for text, (new, n) in zip(phones, run([f"tel {p}." for p in phones]), strict=True):
+        code = re.match(r"\+(1|49|44|358)|", text)[0]
+        assert n == 1 and new.startswith("tel " + code) and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"tel {text}."), text
+
+
+def test_marks_in_the_text_stay(run):
+    odd = "\ufdd0a\ufdd1 \ufdd2\ufdd4 \ufdd2 10.0.0.1\ufdd1 \ufdd0 10.0.0.2"
+    [(new, n)] = run([odd])
+    assert n == 2 and re.sub(r"\d+(\.\d+){3}", "IP", new) == re.sub(r"\d+(\.\d+){3}", "IP", odd)
+
+
+def test_a_key_is_needed(corpus):
+    with pytest.raises(ValueError):
+        pii.pseudonymized(corpus([]), "")
