@@ -1,10 +1,10 @@
-"""Benchmark decontamination: a BM25 index of test items, searched with block maxima by every passage of the corpus."""
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND with every passage of the corpus."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
@@ -12,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, materialize
 
-#: Items of one index (further ones go to further indexes, each searched by all passages) and of one block.
-INDEX_ITEMS, BLOCK = 2000, 4
-#: Words of half a passage at least; passages of two halves start at every half.
+#: Words of the items of one index, which is broadcast (further items go to further indexes, each searched by all
+#: passages), and postings of a block.
+INDEX_WORDS, BLOCK = 500_000, 8
+#: Words of half a passage for items of up to as many words; longer items have halves of 2, 4, 8 ... times as many.
 HALF = 64
 #: Share of an item's own BM25 score that a passage must reach; share of shingles of question and of answer; their words.
 SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
+#: Passages that are searched side by side.
+ABREAST = 1024
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -29,7 +32,7 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def shingles(w: list[str], n: int) -> set[tuple]:
+def shingles(w: list, n: int) -> set[tuple]:
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
@@ -39,88 +42,165 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (sum(parts[:-1], []), parts[-1]) if len(parts) > 1 else (parts[0], parts[0])
 
 
+def half_of(n: int) -> int:
+    """Words of half a passage for an item of n words: a matter of the item alone."""
+    return HALF << max(0, (n - 1) // HALF).bit_length()
+
+
 @dataclass
-class Index:
-    """Impacts are BM25 weights divided by the item's own score, so that one threshold serves all items."""
+class Postings:
+    """The inverted lists of the items of one length class. A list's postings are ordered by item and cut into blocks of
+    BLOCK with their greatest impact. Keys are term * (items + 1) + item, so lists lie one after another in one order and
+    any place in any list is found by bisection. Impacts are BM25 weights divided by the item's own score, so that one
+    threshold serves all items. Term number `terms` is no term; its list is empty."""
 
-    ids: list[int]
-    parts: list[list[tuple[int, set]]]
-    terms: dict[str, int]
-    first: np.ndarray  # postings of term t: first[t] .. first[t + 1]
-    items: np.ndarray
-    impacts: np.ndarray
-    block_max: np.ndarray  # (terms, blocks)
-    block: int
     half: int
+    items: list[tuple[int, list[int], list[int]]]  # id, question, answer, as term numbers
+    keys: np.ndarray
+    impacts: np.ndarray
+    first: np.ndarray  # the list of term t: first[t] .. first[t + 1]
+    top: np.ndarray  # greatest impact of a list
+    block_keys: np.ndarray  # of the last posting of a block
+    block_first: np.ndarray
+    block_top: np.ndarray
+    counted: dict = field(default_factory=lambda: {"scored": 0, "skipped": 0, "passages": 0})
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]], half: int, terms: dict[str, int], idf: np.ndarray, mean: float) -> Postings:
+        n, posted, items = len(rows), [], []
+        for k, (item_id, text) in enumerate(rows):
+            own = [terms[w] for w in words(text)]
+            t, many = np.unique(own, return_counts=True)
+            weight = idf[t] * many * (K1 + 1) / (many + K1 * (1 - B + B * len(own) / mean))
+            posted.append((t * (n + 1) + k, weight / weight.sum()))
+            items.append((item_id, *([terms[w] for w in part] for part in question_and_answer(text))))
+        keys, impacts = (np.concatenate(x) for x in zip(*posted, strict=True))
+        order = np.argsort(keys)
+        keys, impacts = keys[order].astype(np.int64), impacts[order]
+        first = np.searchsorted(keys, np.arange(len(terms) + 2) * (n + 1))
+        sizes = -(-np.diff(first) // BLOCK)
+        block_first = np.concatenate([[0], np.cumsum(sizes)])
+        begin = np.repeat(first[:-1], sizes) + BLOCK * (np.arange(sizes.sum()) - np.repeat(block_first[:-1], sizes))
+        last = np.minimum(begin + BLOCK, np.repeat(first[1:], sizes)) - 1
+        block_top = np.maximum.reduceat(impacts, begin)
+        top = np.zeros(len(terms) + 1)
+        top[sizes > 0] = np.maximum.reduceat(block_top, block_first[:-1][sizes > 0])
+        return cls(half, items, keys, impacts, first, top, keys[last], block_first, block_top)
+
+    def retrieved(self, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) of all items that score SCORE or more, for passages given as rows of different term
+        numbers, padded with the empty term.
+
+        Block-max WAND, in step for all rows: cursors in order of their items, the pivot is the first item at which the lists'
+        maxima could reach the threshold; if the maxima of the blocks that hold the pivot cannot, all cursors leap past
+        the first of those blocks to end, else they meet at the pivot, which is scored. A row ends without a pivot."""
+        n, least = len(self.items), SCORE - 1e-9
+        base, row = terms.astype(np.int64) * (n + 1), np.arange(len(terms))
+        at, end, top = self.first[terms], self.first[terms + 1], self.top[terms]
+        self.counted["passages"] += len(row)
+
+        def moved(which: np.ndarray, to: np.ndarray) -> None:
+            """The cursors `which` go to the first posting of their lists from an item on."""
+            at[which] = np.maximum(at[which], np.minimum(np.searchsorted(self.keys, base[which] + to), end[which]))
+
+        while len(row):
+            now = np.where(at < end, self.keys[np.minimum(at, len(self.keys) - 1)] - base, n)
+            order = np.argsort(now, axis=1)
+            reach = np.cumsum(np.take_along_axis(top, order, 1), axis=1) >= least
+            k = reach.argmax(1)
+            pivot = now[np.arange(len(row)), order[np.arange(len(row)), k]]
+            live = reach[np.arange(len(row)), k] & (pivot < n)
+            if not live.all():
+                base, row, at, end, top, now, pivot, terms = (x[live] for x in (base, row, at, end, top, now, pivot, terms))
+                if not len(row):
+                    return
+            r, j = np.nonzero(now <= pivot[:, None])
+            block = np.searchsorted(self.block_keys, base[r, j] + pivot[r])
+            some = block < self.block_first[terms[r, j] + 1]  # the list has postings from the pivot on
+            inside = np.minimum(block, len(self.block_keys) - 1)
+            bound = np.bincount(r, np.where(some, self.block_top[inside], 0.0), len(row))
+            open_ = bound >= least
+            leap = np.where(now > pivot[:, None], now, n).min(1)
+            np.minimum.at(leap, r, np.where(some, self.block_keys[inside] - base[r, j] + 1, n))
+            target = np.where(open_, pivot, np.maximum(leap, pivot + 1))
+            behind = now < target[:, None]
+            moved(behind, np.broadcast_to(target[:, None], now.shape)[behind])
+            self.counted["skipped"] += int(np.count_nonzero(~open_[r] & some))
+            if open_.any():
+                meets = np.where(at < end, self.keys[np.minimum(at, len(self.keys) - 1)] - base, n) == np.where(open_, pivot, -1)[:, None]
+                score = (np.where(meets, self.impacts[np.minimum(at, len(self.keys) - 1)], 0.0)).sum(1)
+                self.counted["scored"] += int(open_.sum())
+                for i in np.flatnonzero(open_ & (score >= least)):
+                    yield int(row[i]), int(pivot[i]), float(score[i])
+                at[meets] += 1
+
+
+@dataclass
+class Index:
+    terms: dict[str, int]
+    classes: list[Postings]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Index:
+    def of(cls, rows: list[tuple[int, str]], df: dict[str, int] | None = None, n: int | None = None, mean: float | None = None) -> Index:
+        """`df`, `n` and `mean`: document frequencies, number and mean length of all items, of which `rows` may be a part."""
         rows = sorted((i, t) for i, t in rows if words(t))
         texts = [words(t) for _, t in rows]
+        if df is None:
+            df, n, mean = {}, len(rows), sum(map(len, texts)) / max(1, len(rows))
+            for w in texts:
+                for x in set(w):
+                    df[x] = df.get(x, 0) + 1
         terms = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
-        counts = [np.unique([terms[w] for w in t], return_counts=True) for t in texts]
-        df = np.zeros(len(terms))
-        for t, _ in counts:
-            df[t] += 1
-        idf, mean = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5)), sum(map(len, texts)) / max(1, len(rows))
-        posted = []
-        for k, ((t, n), own) in enumerate(zip(counts, texts, strict=True)):
-            weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean))
-            posted.append(np.stack([t, np.full(len(t), k), weight / weight.sum()]))
-        flat = np.concatenate(posted, 1) if posted else np.zeros((3, 0))
-        flat = flat[:, np.lexsort((flat[1], flat[0]))]
-        term, item = flat[0].astype(int), flat[1].astype(int)
-        block_max = np.zeros((len(terms), -(-len(rows) // BLOCK)), np.float32)
-        np.maximum.at(block_max, (term, item // BLOCK), flat[2])
-        parts = [[(n := min(SHINGLE, len(p)), shingles(p, n)) for p in question_and_answer(t)] for _, t in rows]
-        half = max([HALF, *map(len, texts)])
-        return cls([i for i, _ in rows], parts, terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, flat[2], block_max, BLOCK, half)
+        many = np.array([df[w] for w in terms], float)
+        idf = np.log(1 + (n - many + 0.5) / (many + 0.5))
+        groups: dict[int, list] = {}
+        for row, w in zip(rows, texts, strict=True):
+            groups.setdefault(half_of(len(w)), []).append(row)
+        return cls(terms, [Postings.of(own, half, terms, idf, mean) for half, own in sorted(groups.items())])
 
     def search(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item id, score, overlap of the question, of the answer) of every verified passage."""
         get = self.terms.get
-        ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int32)
-        lengths = np.array([len(t) for t in texts])
-        halves = np.maximum(1, -(-lengths // self.half))
+        ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        for c in self.classes:
+            yield from self._search(c, ids, lengths)
+
+    def _search(self, c: Postings, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+        empty, starts = len(self.terms), np.cumsum(lengths) - lengths
+        halves = np.maximum(1, -(-lengths // c.half))
         begin = np.concatenate([[0], np.cumsum(halves)])
-        doc_of = np.repeat(np.arange(len(texts)), halves)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        half_of = np.repeat(begin[:-1], lengths) + place // self.half
-        known = ids >= 0
-        pairs = np.unique(half_of[known] * len(self.terms) + ids[known])  # a word counts once in a half
-        at, term = np.divmod(pairs, max(1, len(self.terms)))
-        bounds = np.searchsorted(at, np.arange(begin[-1] + 1))
-        sums = np.zeros((begin[-1], self.block_max.shape[1]), np.float32)
-        step = max(1, 20_000_000 // max(1, self.block_max.shape[1] * self.half))
-        for a in range(0, begin[-1], step):
-            own = np.flatnonzero(np.diff(bounds[a : a + step + 1])) + a
-            if len(own):
-                sums[own] = np.add.reduceat(self.block_max[term[bounds[own[0]] : bounds[own[-1] + 1]]], bounds[own] - bounds[own[0]])
+        doc_of = np.repeat(np.arange(len(lengths)), halves)
+        half_at = np.repeat(begin[:-1], lengths) + (np.arange(len(ids)) - np.repeat(starts, lengths)) // c.half
+        known = np.flatnonzero((ids >= 0) & (c.top[ids] > 0))
+        pairs = np.unique(half_at[known] * empty + ids[known])  # a word counts once in a half
+        at, term = np.divmod(pairs, max(1, empty))
+        reach = np.bincount(at, c.top[term], begin[-1])
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
-        upper = sums.copy()
-        upper[follows] += sums[1:][follows[:-1]]  # no passage of two halves can score more in a block
         first_half = np.append(True, doc_of[1:] != doc_of[:-1])
-        starts = follows | first_half  # the last half of a text is part of the passage before it
-        for h in np.flatnonzero(starts & (upper.max(1, initial=0) >= SCORE)):
-            stop = h + 1 + bool(follows[h])
-            found = np.unique(term[bounds[h] : bounds[stop]])
-            spans = [slice(self.first[t], self.first[t + 1]) for t in found]
-            scores = np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.impacts[s] for s in spans]), len(self.ids))
-            open_ = np.repeat(upper[h] >= SCORE, self.block)[: len(self.ids)]
-            hits = np.flatnonzero(open_ & (scores >= SCORE))
-            if not len(hits):
-                continue
-            text, k = texts[doc_of[h]], h - begin[doc_of[h]]
-            passage = text[k * self.half : (k + 2) * self.half]
-            seen: dict[int, set] = {}
-            for i in hits:
+        upper = reach + np.where(follows, np.append(reach[1:], 0.0), 0.0)
+        # the last half of a text is part of the passage before it; without this much there is no first pivot
+        chosen = np.flatnonzero((follows | first_half) & (upper >= SCORE - 1e-9))
+        bounds = np.searchsorted(at, np.arange(begin[-1] + 1))
+        size = bounds[chosen + 1 + follows[chosen]] - bounds[chosen]
+        chosen = chosen[np.argsort(size, kind="stable")]
+        for k in range(0, len(chosen), ABREAST):
+            h = chosen[k : k + ABREAST]
+            low, many = bounds[h], bounds[h + 1 + follows[h]] - bounds[h]
+            column = np.arange(many.max())
+            own = np.where(column < many[:, None], term[np.minimum(low[:, None] + column, len(term) - 1)], empty)
+            own.sort(1)
+            own[:, 1:][own[:, 1:] == own[:, :-1]] = empty
+            for p, item, score in c.retrieved(own):
+                d, place = doc_of[h[p]], (h[p] - begin[doc_of[h[p]]]) * c.half
+                passage = ids[starts[d] + place : starts[d] + min(lengths[d], place + 2 * c.half)].tolist()
                 over = []
-                for n, own in self.parts[i]:
-                    if n not in seen:
-                        seen[n] = shingles(passage, n)
-                    over.append(len(own & seen[n]) / len(own))
+                for part in c.items[item][1:]:
+                    n = min(SHINGLE, len(part))
+                    wanted = shingles(part, n)
+                    over.append(len(wanted & shingles(passage, n)) / len(wanted))
                 if min(over) >= OVERLAP:
-                    yield int(doc_of[h]), self.ids[i], float(scores[i]), over[0], over[1]
+                    yield int(d), c.items[item][0], score, over[0], over[1]
 
 
 def _marked_once(docs: DataFrame, index: Index, name: str) -> DataFrame:
@@ -150,23 +230,41 @@ def _marked_once(docs: DataFrame, index: Index, name: str) -> DataFrame:
     return mapped(docs, run, schema)
 
 
+def _tokenized(items: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string()))], ["item_id", "text", "words"])
+
+    return mapped(items, run, "item_id long, text string, words array<string>")
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
     """`docs` with a column of leaks: the benchmark items (item_id, score, question, answer) that some passage of the text repeats.
 
-    A passage is two halves of at least 64 words, or of the longest item's length, so that every item that lies whole in
-    a text lies in a passage. Every passage queries the index: blocks of items whose summed maxima stay under the
-    threshold are skipped, all items above it are retrieved, and those count whose question and answer both have 80 % of
-    their five-word shingles in the passage (parts under five words: the words themselves, in a row).
-    Words are compared without case and punctuation. The index is broadcast; its items are bounded, and a larger
-    benchmark takes several, one pass over the documents each, with every index's own document frequencies.
-    Null or empty texts have no leaks; items with null id or without words are none; repeated items count once each.
-    Rows and other columns stay (a column of that name is replaced); no shuffle; an empty benchmark marks nothing.
+    A passage is two halves of a text, and begins at every half. Halves have 64 words for items of up to 64, 128 for those of
+    up to 128 and so on, so that every item that lies whole in a text lies in a passage, and how long an item's passages
+    are depends on no other item. Every passage queries the index: all items that reach the threshold are retrieved, and
+    those count whose question and answer both have 80 % of their five-word shingles in the passage (parts under five
+    words: the words themselves, in a row). Words are compared without case and punctuation.
+
+    Document frequencies and the mean length are those of all items. An index is built of items of at most 500,000 words
+    together (or of one longer item), which bounds the broadcast; a larger benchmark takes several, one pass over the
+    documents each. Null or empty texts have no leaks; items with null id or without words are none; repeated items count
+    once each. Texts of any length are read whole. Rows and other columns stay (a column of that name is replaced); no
+    shuffle of documents; an empty benchmark marks nothing.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+    items = materialize(_tokenized(items).filter(F.size("words") > 0))
     out = docs.select(*(c for c in docs.columns if c.lower() != name.lower()), F.array().cast("array<struct<item_id:bigint,score:double,question:double,answer:double>>").alias(name))
-    shards = ceil(items.count() / INDEX_ITEMS)
+    n, total = items.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    shards = ceil(total / (0.7 * INDEX_WORDS)) if total > INDEX_WORDS else min(1, n)
+    df = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    df = materialize(df) if shards > 1 else df
     for s in range(shards):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()]
-        if any(words(t) for _, t in rows):
-            out = _marked_once(out, Index.of(rows), name)
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
+        rows = [tuple(r) for r in own.select("item_id", "text").collect()]
+        if rows:
+            mine = own.select(F.explode("words").alias("word")).distinct()
+            out = _marked_once(out, Index.of(rows, {r["word"]: r["df"] for r in df.join(mine, "word").collect()}, n, total / n), name)
     return out

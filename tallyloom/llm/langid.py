@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +16,9 @@ from .sampling import bounded_sample, held_out
 
 #: State size of each direction, bytes of a piece (states start anew in each), pieces that run side by side.
 STATE, STEPS, ABREAST = 8, 64, 4096
-#: Documents that training may use, and pieces of each.
-TRAIN_DOCS, PIECES = 2000, 8
-_LETTER = re.compile(r"[^\W\d_]")
+#: Documents of each language that training may use, languages that it may learn, characters and pieces of each document.
+TRAIN_DOCS, LANGUAGES, TRAIN_CHARS, PIECES = 600, 200, 4000, 8
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -151,18 +151,23 @@ def train(texts: list[bytes], languages: list[str], epochs: int = 4, seed: int =
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model | None:
-    """Trains on the driver from at most 2 * `rows` documents with text and language outside the held-out fold; None
-    without any. Of a text, training sees pieces; prediction always reads it whole."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    pieces = F.substr(F.col("text"), F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int") + 1, F.lit(4000))
-    sample = bounded_sample(known, rows, "language").select("doc_id", pieces.alias("text"), "lang").toPandas().sort_values(["doc_id", "text"])
+    """Trains on the driver from at most `rows` documents of each language with text and language outside the held-out fold;
+    None without any. Of a text, training sees pieces of a stretch of TRAIN_CHARS; prediction always reads it whole.
+    A rare language has all its documents in the sample. More than LANGUAGES languages are refused."""
+    stretch = F.substr(F.col("text"), F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))).cast("int") + 1, F.lit(TRAIN_CHARS))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    if known.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    sample = bounded_sample(known.select("doc_id", stretch.alias("text"), "lang").filter(F.col("text").rlike(r"\p{L}")), "lang", rows, "language").toPandas()
+    sample = sample[np.array([bool(_LETTER.search(t)) for t in sample["text"]], bool)].sort_values(["doc_id", "lang", "text"])
     return train([t.encode() for t in sample["text"]], list(sample["lang"])) if len(sample) else None
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with lang_pred and score, from the bytes of the whole text alone.
 
-    Null text, text without a letter, or no model: `und` with score 0. The score is the language's mean probability over
+    Null text, text without a letter (\\p{L}; numbers like a half or a circled one are none), or no model: `und`, score 0. The score is the language's mean probability over
     all positions; ties go to the first name. Rows and other columns stay; columns of those two names are replaced.
     No shuffle; a task runs a bounded number of pieces at a time, whatever the length of a text.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import chat, decontam, langid, neardup, packing, pii, suffixdedup, topk, toxicity, url_reputation
 from .common import secret, table
 from .sampling import held_out
+from .url_reputation import TWO_LABEL_SUFFIXES
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,7 +68,7 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op4_l
 
 _ESCAPED = r"length({0}) + len(regexp_extract_all({0}, '<\\*\|'))"
 
-OP2_SQL = r"""
+OP2_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
 h AS (SELECT page_id,
              translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -75,9 +76,11 @@ h AS (SELECT page_id,
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS is_bad
       FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 hosts AS (SELECT host, count(is_bad) AS seen, coalesce(sum(is_bad), 0) AS bad FROM h LEFT JOIN l USING (page_id) GROUP BY 1),
-named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS n FROM hosts),
-lev AS (SELECT host, seen, bad,
-               CASE WHEN len(n) < 2 THEN n[1] ELSE n[-2] || '.' || n[-1] END AS domain, CASE WHEN len(n) < 2 THEN '' ELSE n[-1] END AS suffix FROM named),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS b FROM hosts),
+named AS (SELECT *, string_split(b, '.') AS n, list_contains({list(TWO_LABEL_SUFFIXES)}, array_to_string(string_split(b, '.')[-2:], '.')) AS listed,
+                 regexp_matches(b, '^[0-9.]+$|^\[') OR NOT contains(b, '.') AS plain FROM bare),
+lev AS (SELECT host, seen, bad, CASE WHEN plain THEN b ELSE array_to_string(CASE WHEN listed THEN n[-3:] ELSE n[-2:] END, '.') END AS domain,
+               CASE WHEN plain THEN '' WHEN listed THEN n[-2] || '.' || n[-1] ELSE n[-1] END AS suffix FROM named),
 doms AS (SELECT domain, suffix, sum(seen) AS seen, sum(bad) AS bad FROM lev GROUP BY 1, 2),
 sufs AS (SELECT suffix, sum(seen) AS seen, sum(bad) AS bad FROM doms GROUP BY 1),
 r AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(seen), 0) + 2.0::DOUBLE) AS rate FROM sufs),
@@ -88,8 +91,8 @@ b AS (SELECT level, noise, CASE WHEN n < 2 OR al <= sq / al THEN 0 ELSE (spread
 k AS (SELECT max(CASE WHEN level = 'suffix' THEN w END) AS over_, max(CASE WHEN level = 'domain' THEN w END) AS mid, max(CASE WHEN level = 'host' THEN w END) AS low
       FROM (SELECT level, CASE WHEN between_ > 0 THEN least(1000.0::DOUBLE, greatest(1.0::DOUBLE, noise / between_ - 1)) ELSE 1000.0::DOUBLE END AS w FROM b)),
 ps AS (SELECT suffix, (bad + coalesce(over_, 1000) * rate) / (seen + coalesce(over_, 1000)) AS srate FROM sufs, r, k),
-pd AS (SELECT domain, (bad + coalesce(mid, 1000) * srate) / (seen + coalesce(mid, 1000)) AS drate FROM doms JOIN ps USING (suffix), k),
-ph AS (SELECT host, bad + coalesce(low, 1000) * drate AS a, seen - bad + coalesce(low, 1000) * (1 - drate) AS b FROM lev JOIN pd USING (domain), k),
+pd AS (SELECT domain, suffix, (bad + coalesce(mid, 1000) * srate) / (seen + coalesce(mid, 1000)) AS drate FROM doms JOIN ps USING (suffix), k),
+ph AS (SELECT host, bad + coalesce(low, 1000) * drate AS a, seen - bad + coalesce(low, 1000) * (1 - drate) AS b FROM lev JOIN pd USING (domain, suffix), k),
 v AS (SELECT page_id, host, path, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h JOIN ph USING (host)),
 f AS (SELECT *, (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') AS f1,
              (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') AS f2,

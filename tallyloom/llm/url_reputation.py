@@ -23,13 +23,15 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(text, split, 2)
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, without user and port; addresses and single names stand for themselves."""
+def _levels(host: Column, suffixes: tuple[str, ...]) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user and port; addresses and single names stand for themselves.
+    A host that is a listed suffix is its own domain."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     two = F.substring_index(name, ".", -2)
+    listed = two.isin(*suffixes)
     plain = name.rlike(r"^[\d.]+$|^\[") | ~name.contains(".")
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+    suffix = F.when(listed, two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(listed, F.substring_index(name, ".", -3)).otherwise(two)
     return F.when(plain, name).otherwise(domain), F.when(plain, F.lit("")).otherwise(suffix)
 
 
@@ -45,18 +47,19 @@ def _strength(groups: DataFrame, rate: float) -> float:
     return float(min(1000.0, max(1.0, noise / between - 1))) if between > 0 else 1000.0
 
 
-def host_posteriors(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def host_posteriors(pages: DataFrame, labels: DataFrame, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, seen, bad, alpha, beta: the beta posterior of each host's rate of bad pages.
 
     A page is bad if its label has quality 0 or toxic 1; a page with several labels is bad if one says so; pages without
     labels, or with null ones, count for no rate. The rate over all pages is the prior of the suffixes, a suffix's
-    posterior mean that of its registered domains, a domain's that of its hosts. Only three numbers reach the driver.
+    posterior mean that of its registered domains, a domain's that of its hosts. `two_labels`: suffixes of two labels; a
+    domain belongs to its suffix, so equal names under two suffixes are two domains. Only three numbers reach the driver.
     """
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     outcomes = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad).alias("is_bad"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), parts(F.col("url"))[0].alias("host"))
     hosts = own.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("is_bad").alias("seen"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = _levels(F.col("host"), two_labels)
     hosts = materialize(hosts.select("host", "seen", "bad", domain.alias("domain"), suffix.alias("suffix")))  # the pages are read once for all that follows
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
@@ -64,11 +67,11 @@ def host_posteriors(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rate = ((total["bad"] or 0) + 1.0) / ((total["seen"] or 0) + 2.0)
     over, mid, low = (_strength(x, rate) for x in (suffixes, domains, hosts))
     suffixes = suffixes.select("suffix", ((F.col("bad") + over * rate) / (F.col("seen") + over)).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("bad") + mid * F.col("suffix_rate")) / (F.col("seen") + mid)).alias("domain_rate"))
-    return hosts.join(domains, "domain").select("host", "seen", "bad", (F.col("bad") + low * F.col("domain_rate")).alias("alpha"), (F.col("seen") - F.col("bad") + low * (1 - F.col("domain_rate"))).alias("beta"))
+    domains = domains.join(suffixes, "suffix").select("domain", "suffix", ((F.col("bad") + mid * F.col("suffix_rate")) / (F.col("seen") + mid)).alias("domain_rate"))
+    return hosts.join(domains, ["domain", "suffix"]).select("host", "seen", "bad", (F.col("bad") + low * F.col("domain_rate")).alias("alpha"), (F.col("seen") - F.col("bad") + low * (1 - F.col("domain_rate"))).alias("beta"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, max_bad: float = 0.5, z: float = 1.645, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's bound: every page, judged by the longest rule that fits, else
     blocked if the lower bound of its host's rate of bad pages (mean - z deviations of the posterior) is over `max_bad`.
 
@@ -78,7 +81,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, max_bad: fl
     """
     a, b = F.col("alpha"), F.col("beta")
     bound = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    scored = host_posteriors(pages, labels).select(F.col("host").alias("known"), bound.alias("bad_bound"))
+    scored = host_posteriors(pages, labels, two_labels).select(F.col("host").alias("known"), bound.alias("bad_bound"))
     host, path = parts(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     joined = own.join(scored, F.col("host") == F.col("known"))
