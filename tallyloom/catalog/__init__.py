@@ -8,6 +8,7 @@ from dataclasses import asdict
 
 from ..model import Catalog
 from ..refusal import Refusal
+from .consistency import consistent
 
 
 def digest(catalog: Catalog) -> str:
@@ -16,7 +17,7 @@ def digest(catalog: Catalog) -> str:
 
 
 def compose(*catalogs: Catalog) -> Catalog:
-    """One catalog of several; a name that two of them give to a model, relationship or metric is refused."""
+    """One catalog of several, whose whole is consistent; a name that two give to a model, relationship or metric is refused."""
     out: dict[str, dict] = {"models": {}, "relationships": {}, "metrics": {}}
     notes: tuple = ()
     for c in catalogs:
@@ -27,4 +28,4 @@ def compose(*catalogs: Catalog) -> Catalog:
                 raise Refusal("name_collision", f"{kind}: {sorted(both)}")
             have.update(own)
         notes += c.notes
-    return Catalog(out["models"], out["relationships"], out["metrics"], notes)
+    return consistent(Catalog(out["models"], out["relationships"], out["metrics"], notes))

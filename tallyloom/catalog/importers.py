@@ -5,7 +5,7 @@ Each gives the same definitions as the documents; what has no counterpart is lef
 
 from __future__ import annotations
 
-from fnmatch import fnmatchcase
+import re
 
 import yaml
 from pyspark.sql import DataFrame
@@ -16,8 +16,9 @@ from .consistency import consistent
 
 
 def _wanted(name: str, include: tuple[str, ...], exclude: tuple[str, ...]) -> bool:
-    """`*` and `?` patterns, case kept."""
-    return any(fnmatchcase(name, p) for p in include) and not any(fnmatchcase(name, p) for p in exclude)
+    """`*` and `?` patterns, all else as it is written, case kept."""
+    fits = lambda p: re.fullmatch(re.escape(p).replace(r"\*", ".*").replace(r"\?", "."), name, re.S)
+    return any(map(fits, include)) and not any(map(fits, exclude))
 
 
 def from_dictionary(columns: DataFrame, foreign_keys: DataFrame | None, source: str, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> Catalog:
@@ -61,8 +62,6 @@ def from_manifest(raw: dict, source: str) -> Catalog:
     """From a semantic-layer manifest: models with columns and primaryKey; relationships with two models, joinType and a
     condition of equalities; cubes with measures `aggregate(column)`, dimensions and a time dimension. One-to-many
     relationships are read from their other end; expressions beyond that form are refused."""
-    import re
-
     models = {}
     for m in raw.get("models") or ():
         columns = {c["name"]: Column(identifier(c["name"]), str(c.get("type", "VARCHAR")).upper()) for c in m["columns"] if not c.get("relationship")}

@@ -73,6 +73,17 @@ _AUTHORED = {
     "quantity_spread": "MAX(l_quantity) - MIN(l_quantity)",
     "net_share": "CAST(SUM(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS DOUBLE) / NULLIF(SUM(l_quantity), 0)",
 }
+#: One authored measure for each function that they may call.
+EACH = {
+    "avg": "ROUND(AVG(CAST(l_quantity AS DOUBLE)), 4)", "count": "COUNT(l_orderkey)", "countif": "COUNTIF(l_quantity > 25)", "count_if": "COUNT_IF(l_quantity > 25)",
+    "max": "CAST(MAX(l_quantity) AS DOUBLE)", "min": "CAST(MIN(l_quantity) AS DOUBLE)", "median": "MEDIAN(CAST(l_quantity AS DOUBLE))", "sum": "CAST(SUM(l_quantity) AS DOUBLE)",
+    "percentile_disc": "PERCENTILE_DISC(0.25) WITHIN GROUP (ORDER BY CAST(l_quantity AS DOUBLE))", "sumif": "CAST(SUMIF(l_quantity, l_quantity > 10) AS DOUBLE)",
+    "sum_if": "CAST(SUM_IF(l_quantity, l_quantity <= 10) AS DOUBLE)", "uniqexact": "UNIQEXACT(l_suppkey)", "stddev": "ROUND(STDDEV(CAST(l_quantity AS DOUBLE)), 6)",
+    "stddev_pop": "ROUND(STDDEV_POP(CAST(l_quantity AS DOUBLE)), 6)", "stddev_samp": "ROUND(STDDEV_SAMP(CAST(l_quantity AS DOUBLE)), 6)", "variance": "ROUND(VARIANCE(CAST(l_quantity AS DOUBLE)), 6)",
+    "var_pop": "ROUND(VAR_POP(CAST(l_quantity AS DOUBLE)), 6)", "var_samp": "ROUND(VAR_SAMP(CAST(l_quantity AS DOUBLE)), 6)", "abs": "ABS(COUNT(l_orderkey) - 5000)",
+    "coalesce": "COALESCE(SUM(l_linenumber), 0)", "greatest": "GREATEST(COUNT(l_orderkey), 100)", "least": "LEAST(COUNT(l_orderkey), 100)", "nullif": "NULLIF(COUNT(l_orderkey), 0)",
+    "try_cast": "TRY_CAST(COUNT(l_orderkey) AS DOUBLE)",
+}
 _OTHER = """
 ---
 kind: relationship
@@ -148,7 +159,7 @@ def texts(split: bool = False) -> list[str]:
     for model, time, dims, group in (("lineitem", "l_shipdate", _LINE_DIMENSIONS, _LINE), ("orders", "o_orderdate", _ORDER_DIMENSIONS, _ORDER)):
         for name, (measure, required) in group.items():
             out.append(f"---\nkind: metric\nname: {name}\nmodel: {model}\nmeasure: {{{measure}}}\n{required}\ntime_column: {time}\ngrains: [day, week, month, quarter, year]{dims}---\n")
-    for name, text in _AUTHORED.items():
+    for name, text in (_AUTHORED | {f"each_{k}": v for k, v in EACH.items()}).items():
         out.append(f"---\nkind: metric\nname: {name}\nmodel: lineitem\nexpression: \"{text}\"\ntime_column: l_shipdate\ngrains: [month, year]{_LINE_DIMENSIONS}---\n")
     return out + [x.strip() + "\n" for x in _OTHER.split("===")]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import masked
+from ..engine import Engine
 from ..model import Column, Model, TextPolicy
 from ..operators.probes import key_probe
 from ..plans import statement
-from .definitions import engine, tables
+from .definitions import EACH, catalog, engine, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +105,44 @@ _ask("authored_spread", ["quantity_spread"], ("market_segment",))
 _ask("authored_guarded_division", ["net_share"], ("line_status",), grain="year")
 
 
+_ask("fed_top", ["gross_revenue"], ("market_segment",), split=True, top={"n": 7})
+_ask("stacked_top", ["gross_revenue", "order_count"], ("market_segment",), start="1998-06-01", end="1999-03-01", top={"n": 7}, sql=f"SELECT * FROM ({_STACK}) ORDER BY order_count DESC NULLS LAST, market_segment, period LIMIT 7")
+_ask("drill_across_top", ["gross_revenue", "order_count"], ("market_segment",), start="1998-06-01", end="1999-03-01", split=True, top={"n": 9, "direction": "asc"}, sql=f"SELECT * FROM ({_STACK}) ORDER BY order_count NULLS LAST, market_segment, period LIMIT 9")
+_DUCK = {
+    "countif": "count(*) FILTER (l_quantity > 25)", "count_if": "count(*) FILTER (l_quantity > 25)", "percentile_disc": "percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity)",
+    "sumif": "sum(l_quantity) FILTER (l_quantity > 10)", "sum_if": "sum(l_quantity) FILTER (l_quantity <= 10)", "uniqexact": "count(DISTINCT l_suppkey)", "coalesce": "coalesce(sum(l_linenumber), 0)::BIGINT",
+}
+_SQL |= {f"each_{_k}": _DUCK.get(_k, _v) for _k, _v in EACH.items()}
+for _k in EACH:
+    _ask(f"authored_{_k}", [f"each_{_k}"], ("return_flag",), grain="year")
+
+
+def _from_files(form: str, **options: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A question over tables that were written as files of another form."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tables')}/{form}"
+        place = tables(spark, sf_dir)
+        for name in ("customer", "nation", "orders"):
+            writer = place(name).write.mode("overwrite").options(**options)
+            writer.option("header", True).csv(f"{folder}/{name}.csv") if form == "csv" else writer.json(f"{folder}/{name}.ndjson")
+        asked = {"metrics": ["order_count", "customers_ordering"], "grain": "year", "range": {"start": "1996-01-01", "end": "1997-01-01"}, "dimensions": ["market_segment", "customer_nation"]}
+        if form == "ndjson":  # whose timestamps are texts
+
+            def read(name: str) -> DataFrame:
+                df = spark.read.json(f"{folder}/{name}.ndjson")
+                return df.withColumn("o_orderdate", F.to_timestamp("o_orderdate")) if name == "orders" else df
+
+            return plain(Engine(spark, catalog(), {"lake": read}).ask(asked).df)
+        return plain(Engine(spark, catalog(), {"lake": folder}).ask(asked).df)
+
+    return query
+
+
+def stmt_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(engine(spark, sf_dir, True).sql(ORACLES["stmt_two_sources"]).df)
+
+
 def relative_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = {"metrics": ["line_items"], "grain": "month", "range": {"last": {"count": 1, "unit": "quarter"}}}
     return plain(engine(spark, sf_dir).ask(asked, today=date(1996, 8, 15)).df)
@@ -143,15 +183,29 @@ _STATEMENTS = {
     "stmt_union": "SELECT n_name AS name FROM nation UNION SELECT r_name AS name FROM region",
     "stmt_except_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1",
     "stmt_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
-    "stmt_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "stmt_anti": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)",
+    "stmt_semi": "SELECT c_custkey FROM customer SEMI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o_custkey",
+    "stmt_in": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000)",
+    "stmt_right": "SELECT n_name, c_custkey FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9500",
+    "stmt_full": "SELECT n_name, r_name FROM (SELECT * FROM nation WHERE n_regionkey < 3) a FULL JOIN (SELECT * FROM region WHERE r_regionkey > 1) b ON n_regionkey = r_regionkey",
+    "stmt_cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
+    "stmt_using": "SELECT k, a, b FROM (SELECT n_regionkey AS k, count(*) AS a FROM nation GROUP BY n_regionkey) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)",
+    "stmt_natural": "SELECT k, a, b FROM (SELECT n_regionkey AS k, count(*) AS a FROM nation GROUP BY n_regionkey) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y",
+    "stmt_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "stmt_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "stmt_functions": "SELECT c_custkey, upper(c_mktsegment) AS a, length(c_name) AS b, substring(c_name, 1, 4) AS c, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS d, CASE WHEN c_acctbal < 0 THEN 'low' ELSE 'high' END AS e FROM customer WHERE c_name LIKE '%1%'",
     "stmt_cte_join": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_mktsegment, max(n) AS most, count(*) AS buyers FROM customer JOIN big ON c_custkey = o_custkey GROUP BY c_mktsegment",
     "stmt_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
 }
 
 
 def _register() -> None:
-    for f in (relative_quarter, key_probe_orders, text_redact, text_clip):
+    for f in (relative_quarter, key_probe_orders, text_redact, text_clip, stmt_two_sources):
         QUERIES[f.__name__] = f
+    ORACLES["stmt_two_sources"] = "SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderstatus"
+    for name, query in {"scan_csv": _from_files("csv"), "scan_csv_gzip": _from_files("csv", compression="gzip"), "scan_ndjson": _from_files("ndjson", compression="bzip2")}.items():
+        QUERIES[name] = query
+        ORACLES[name] = f"SELECT c_mktsegment AS market_segment, n_name AS customer_nation, date_trunc('year', o_orderdate)::DATE AS period, count(o_orderkey) AS order_count, count(DISTINCT o_custkey) AS customers_ordering FROM {_ORDERS} WHERE {_when('1996-01-01', '1997-01-01', 'o_orderdate')} GROUP BY ALL"
     ORACLES["relative_quarter"] = f"SELECT date_trunc('month', l_shipdate)::DATE AS period, count(l_orderkey) AS line_items FROM lineitem WHERE {_when('1996-04-01', '1996-07-01', 'l_shipdate')} GROUP BY ALL"
     ORACLES["key_probe_orders"] = "SELECT 'orders' AS name, count(o_orderkey) AS n_keys, count(DISTINCT o_orderkey) AS n_distinct FROM orders UNION ALL SELECT 'lineitem', count(*), count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem"
     ORACLES["text_redact"] = "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)idiot|clown', '***', 'g'), '[0-9]+', '#', 'g') AS text FROM documents"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from .operators.probes import require_unique, size_in_bytes
 from .plans import statement
 from .plans.ask import Planner
 from .plans.resolve import Resolved, resolve
-from .refusal import Refusal
+from .refusal import ALARMS, Refusal
 from .sources import Sources
 
 
@@ -26,6 +27,7 @@ class Answer:
     df: DataFrame
     digest: str
     limits: Limits
+    too_many: str = "result_too_large"
 
     def rows(self) -> list[Row]:
         """All rows, or a refusal: an answer is never cut short, and no job of it outlives the deadline."""
@@ -46,17 +48,30 @@ class Answer:
         except Exception as e:
             if late.is_set():
                 raise Refusal("deadline_exceeded", f"{self.limits.seconds} seconds") from e
-            raise
+            told = told_by(e)
+            if told is None:
+                raise
+            raise told from e
         finally:
             timer.cancel()
             context.removeJobTag(tag)
         if len(found) > self.limits.rows:
-            raise Refusal("result_too_large", f"{self.limits.rows} rows at most")
+            raise Refusal(self.too_many, f"{self.limits.rows} rows at most")
         if sum(len(str(cell)) for row in found for cell in row) > self.limits.answer_bytes:
             raise Refusal("result_too_large", f"{self.limits.answer_bytes} bytes at most")
         return found
 
 
+def told_by(error: Exception) -> Refusal | None:
+    """The refusal that a failed job stands for: an alarm of a plan, or memory that did not suffice."""
+    text = str(error)
+    if found := re.search(rf"\b({'|'.join(ALARMS)}): ([^\n]*?)(?= SQLSTATE|\n|$)", text):
+        return Refusal(found[1], found[2])
+    if re.search(r"OutOfMemory|MAX_RESULT_SIZE|maxResultSize", text):
+        return Refusal("resources_exhausted", "the answer needs more memory than there is")
+    return None
+
+
 class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog, places: dict, limits: Limits | None = None, audience: str = "open", federated_statements: bool = True):
         self.spark, self.catalog, self.limits, self.audience = spark, catalog, limits or Limits(), audience
@@ -70,7 +85,8 @@ class Engine:
         return resolve(self.catalog, q, self.limits, self.audience)
 
     def ask(self, asked: Question | dict, today: date | None = None) -> Answer:
-        """The question's answer as a plan; nothing runs yet but the inference of schemas."""
+        """The question's answer as a plan; nothing runs yet but the inference of schemas. Links are held to one row each inside
+        the plan, so no probe has to run before."""
         return Answer(self.planner.answer(self.resolved(asked, today)), self.digest, self.limits)
 
     def sql(self, text: str, models: list[str] | None = None) -> Answer:
@@ -80,7 +96,7 @@ class Engine:
         if not self.federated_statements and len({admitted[t].source for t in used}) > 1:
             raise Refusal("too_many_sources", "a statement reads one source here")
         tables = {admitted[t].table: statement.view(self.sources.frame(admitted[t]), admitted[t]) for t in used}
-        return Answer(statement.run(self.spark, text, tables), self.digest, self.limits)
+        return Answer(statement.run(self.spark, text, tables, used), self.digest, self.limits, "too_many_rows")
 
     def describe(self) -> list[dict]:
         """What may be asked: metrics with their grains, dimensions, values and notes."""
@@ -97,11 +113,18 @@ class Engine:
         """Physical tables and their columns' types, as the sources give them."""
         return {m.table: dict(self.sources.frame(m).dtypes) for m in self.catalog.models.values() if m.audience in ("open", self.audience)}
 
+    def check(self) -> None:
+        """What may be held before serving: tables and columns are there, keys are unique, certified numbers come out."""
+        self.check_tables()
+        self.check_keys()
+        self.check_anchors()
+
     def check_keys(self) -> None:
-        """Probes the primary keys that models promise; one aggregate each."""
-        for m in self.catalog.models.values():
-            if m.primary_key:
-                require_unique(self.sources.frame(m), list(m.primary_key), m.name)
+        """Probes the primary keys that models promise and the keys that relationships aim at; one aggregate each."""
+        promised = {(m.name, m.primary_key) for m in self.catalog.models.values() if m.primary_key}
+        promised |= {(r.target, tuple(k.target for k in r.keys)) for r in self.catalog.relationships.values()}
+        for name, keys in sorted(promised):
+            require_unique(self.sources.frame(self.catalog.models[name]), list(keys), name)
 
     def check_tables(self) -> None:
         for m in self.catalog.models.values():

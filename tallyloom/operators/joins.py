@@ -29,15 +29,24 @@ def kind(t: T.DataType) -> str:
     raise Refusal("float_link_key" if isinstance(t, T.FractionalType) else "link_kinds_not_joined", t.simpleString())
 
 
+def alarm(code: str, detail: str) -> Column:
+    """Fails the answer where it is computed; the engine reads the code again from the error."""
+    return F.raise_error(F.lit(f"{code}: {detail}"))
+
+
 def compared(column: Column, t: T.DataType, other: T.DataType, compare_as: str | None) -> tuple[Column, str]:
     """The origin's key as it is compared, and its kind; a declared comparison casts text to integer or integer to
-    decimal, and a value that does not cast fails the answer (ANSI) rather than become null."""
+    decimal, and a value that does not cast fails the answer rather than become null."""
     own = kind(t)
     if compare_as == "exact_integer" and own == "text":
-        return column.cast("bigint"), "exact_integer"
-    if compare_as == "exact_decimal" and own == "exact_integer":
-        return column.cast("decimal(38,0)" if not isinstance(other, T.DecimalType) else T.DecimalType(38, other.scale)), "exact_decimal"
-    return column, own
+        cast, own = column.try_cast("bigint"), "exact_integer"
+    elif compare_as == "exact_decimal" and own == "exact_integer":
+        to = T.DecimalType(38, other.scale if isinstance(other, T.DecimalType) else 0)
+        cast, own = column.try_cast(to), "exact_decimal"
+    else:
+        return column, own
+    failed = alarm("link_value_not_cast", "a link's value is no number of the declared kind").cast(T.LongType() if own == "exact_integer" else to)
+    return F.when(column.isNotNull() & cast.isNull(), failed).otherwise(cast), own
 
 
 def on(relationship: Relationship, left: Callable[[str], Column], right: Callable[[str], Column], left_type: Callable[[str], T.DataType], right_type: Callable[[str], T.DataType]) -> Column:
@@ -56,10 +65,11 @@ def on(relationship: Relationship, left: Callable[[str], Column], right: Callabl
 
 
 class Chain:
-    """A fact with its dimension tables, each relationship joined once, rows without a match kept under null."""
+    """A fact with its dimension tables, each relationship joined once, rows without a match kept under null. A target with
+    several rows for one link, which would repeat the fact's rows, fails the answer with `ambiguous`."""
 
-    def __init__(self, catalog: Catalog, frame: Callable[[str], DataFrame], model: str):
-        self.catalog, self.frame, self.base = catalog, frame, model
+    def __init__(self, catalog: Catalog, frame: Callable[[str], DataFrame], model: str, ambiguous: str = "ambiguous_link"):
+        self.catalog, self.frame, self.base, self.ambiguous = catalog, frame, model, ambiguous
         self.alias = {(): "f"}
         self.types = {(): frame(model).schema}
         self.df = frame(model).alias("f")
@@ -72,7 +82,8 @@ class Chain:
 
     def join(self, via: tuple[str, ...], how: str = "left") -> None:
         """Joins the hops of `via` that are not there yet. The far side is read with its needed columns only (Catalyst
-        prunes), and whether it is broadcast is left to Spark's own check of its size."""
+        prunes), cut to one row for each link, and whether it is broadcast is left to Spark's own check of its size. Where
+        it is not, the join uses the exchange that the cut has made."""
         for i in range(1, len(via) + 1):
             here, before = via[:i], via[: i - 1]
             if here in self.alias:
@@ -80,16 +91,34 @@ class Chain:
             r = self.catalog.relationships[here[-1]]
             alias = f"d{len(self.alias)}"
             target = self.frame(r.target)
-            condition = on(r, lambda c, b=before: self.column(b, c), lambda c, a=alias: F.col(f"{a}.`{c}`"), lambda c, b=before: self.type(b, c), lambda c, t=target: t.schema[c].dataType)
-            self.df = self.df.join(target.alias(alias), condition, how)
+            links = {k.target: f"_link{n}" for n, k in enumerate(r.keys)}
+            at = [(F.col(k.target).cast("date") if k.grain else F.col(k.target)).alias(links[k.target]) for k in r.keys]
+            one = unique_lookup(target.select(*at, *target.columns), list(links.values()), target.columns, self.ambiguous)
+            condition = on(r, lambda c, b=before: self.column(b, c), lambda c, a=alias, names=links: F.col(f"{a}.`{names[c]}`"), lambda c, b=before: self.type(b, c), lambda c, t=target: t.schema[c].dataType)
+            self.df = self.df.join(one.alias(alias), condition, how)
             self.alias[here], self.types[here] = alias, target.schema
 
 
-def unique_lookup(lookup: DataFrame, links: list[str], columns: list[str]) -> DataFrame:
-    """One row for each link. Rows that agree in all asked-for columns are one; a link whose rows differ fails the answer,
-    inside a column that the answer uses, so that no optimisation drops the check. Null links match nothing and go."""
+def unique_lookup(lookup: DataFrame, links: list[str], columns: list[str], code: str = "ambiguous_link") -> DataFrame:
+    """One row for each link, by one aggregate. Rows that agree in a column are one; a link whose rows differ in a column that
+    the answer uses fails the answer, inside that column, so that no optimisation drops the check, and columns that it
+    does not use are neither read nor compared. Null links match nothing and go."""
     known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in links))
-    rows = lookup.filter(known).select(*links, *columns).distinct()
-    one = rows.groupBy(*links).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in columns))
-    alarm = F.raise_error(F.lit("ambiguous_link: a lookup has several rows for one link"))
-    return one.select(*links, *(F.when(F.col("_n") > 1, alarm.cast(one.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in columns))
+    low, high, many = ({c: f"_{k}{n}" for n, c in enumerate(columns)} for k in ("low", "high", "many"))
+    aggregates = [x for c in columns for x in (_lowest(lookup, c).alias(low[c]), _lowest(lookup, c, F.max).alias(high[c]), F.count(c).alias(many[c]))]
+    one = lookup.filter(known).groupBy(*links).agg(F.count("*").alias("_n"), *aggregates)
+
+    def agreed(c: str) -> Column:
+        differ = (F.col(many[c]) > 0) & (F.col(many[c]) < F.col("_n"))
+        differ = differ | (F.col("_n") > 1 if _unordered(lookup, c) else F.col(low[c]) != F.col(high[c]))
+        return F.when(differ, alarm(code, "a lookup has several rows for one link").cast(lookup.schema[c].dataType)).otherwise(F.col(low[c])).alias(c)
+
+    return one.select(*links, *map(agreed, columns))
+
+
+def _unordered(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.MapType, T.VariantType))
+
+
+def _lowest(df: DataFrame, column: str, other: Callable = F.min) -> Column:
+    return F.any_value(column) if _unordered(df, column) else other(column)

@@ -74,13 +74,13 @@ class Planner:
             return self.two_facts(r, i)
         return self.federated(r, i) if crosses else self.mono(r, [i])
 
-    def _fact(self, r: Resolved, i: int, vias: list[tuple[str, ...]], model: str | None = None, time: Column | None = None) -> Chain:
+    def _fact(self, r: Resolved, i: int, vias: list[tuple[str, ...]], model: str | None = None, ambiguous: str = "ambiguous_link") -> Chain:
         m = r.metrics[i]
         tables = [self.catalog.relationships[v].target for via in {v[:k] for v in vias for k in range(1, len(v) + 1)} for v in via[-1:]]
         named = [self.catalog.models[t].table.lower() for t in tables]
         if len(set(named)) < len(named) or self.catalog.models[model or m.model].table.lower() in named:
             raise Refusal("plan_tables_share_an_identifier")
-        chain = Chain(self.catalog, self.frame, model or m.model)
+        chain = Chain(self.catalog, self.frame, model or m.model, ambiguous)
         for via in sorted(vias):
             chain.join(via)
         return chain
@@ -199,7 +199,7 @@ class Planner:
                 raise Refusal("federation_not_executable", f"{m.name}: {t.aggregate}")
             path = (lambda d: d.via) if model == m.model else (lambda d: d.second)
             calendar = (m.calendars[model],)
-            chain = self._fact(r, i, [*(path(d) for d in self.asked(r, i)), calendar], model)
+            chain = self._fact(r, i, [*(path(d) for d in self.asked(r, i)), calendar], model, "cross_model_ratio_link_ambiguous")
             time = chain.column(calendar, m.time_column)
             df = chain.df.filter(within(time, q.start, q.end))
             for need in m.required if model == m.model else ():

@@ -21,7 +21,7 @@ class Sources:
         place = self.places.get(model.source)
         if place is None:
             raise Refusal("source_unavailable", model.source)
-        df = place(model.table) if callable(place) else files.attached(self.spark, place, model.table)
+        df = place(model.table) if callable(place) else files.attached(self.spark, place, model.table, model.columns)
         missing = [c for c in model.columns if c not in df.columns]
         if missing:
             raise Refusal("missing_table", f"{model.table}: no columns {missing}")

@@ -100,6 +100,37 @@ def test_ambiguous_lookup_fails_and_agreeing_copies_do_not(spark):
         ask(make(spark, lookup=(*same, ("east", "Orient"))), ["total"], ["region_name"])
 
 
+def test_a_dimension_with_two_rows_for_one_key_is_refused(spark):
+    same = (("east", "Eastern"), ("east", "Eastern"), ("north", "Northern"))
+    e = make(spark, split=False, lookup=same)
+    assert ask(e, ["total"], ["region_name"])[0] == ("Eastern", D1, 350) and sum(r[1] for r in ask(e, ["total"])) == 2250
+    e = make(spark, split=False, lookup=(*same, ("east", "Orient")))
+    with pytest.raises(Refusal, match="ambiguous_link"):
+        ask(e, ["total"], ["region_name"])
+    with pytest.raises(Refusal, match="ambiguous_link"):
+        ask(make(spark, split=False, lookup=(*same, ("east", None))), ["total"], ["region_name"])
+    with pytest.raises(Refusal, match="declared_key_not_unique"):
+        e.check_keys()
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_a_link_value_that_does_not_cast_is_refused(spark, split):
+    link = "---\nkind: relationship\nname: event_code\norigin: {model: events, column: code}\ntarget: {model: codes, column: n}\ncompare_as: exact_integer\n---\n"
+    codes = f"---\nkind: model\nname: codes\nsource: {'names' if split else 'facts'}\ntable: codes\ncolumns: [{{name: n}}, {{name: word}}]\n---\n"
+    metric = "---\nkind: metric\nname: coded\nmodel: events\nmeasure: {simple: {aggregate: sum, column: amount_cents}}\ntime_column: day\ngrains: [day]\ndimensions: [{name: word, column: word, via: event_code}]\n---\n"
+    rows = [(D1, "east", 5, None, 0, 0.0, 0, "1"), (D1, "east", 7, None, 0, 0.0, 0, "02"), (D1, "east", 9, None, 0, 0.0, 0, None)]
+
+    def run(extra):
+        e = make(spark, split, extra=[codes, link, metric], rows=rows + extra)
+        frames = {"codes": spark.createDataFrame([(1, "one"), (2, "two")], "n long, word string"), "events": spark.createDataFrame(rows + extra, EVENTS), "regions": spark.createDataFrame([], "region string, region_name string")}
+        e.sources.places = dict.fromkeys(e.sources.places, frames.__getitem__)
+        return ask(e, ["coded"], ["word"])
+
+    assert run([]) == [("one", D1, 5), ("two", D1, 7), (None, D1, 9)]
+    with pytest.raises(Refusal, match="link_value_not_cast"):
+        run([(D1, "east", 1, None, 0, 0.0, 0, "x")])
+
+
 def test_links_of_other_kinds_are_refused(spark):
     with pytest.raises(Refusal, match="federation_link_type_mismatch"):
         ask(make(spark, lookup=((1, "Eastern"),), lookup_schema="region long, region_name string"), ["total"], ["region_name"])
@@ -240,7 +271,7 @@ def test_answers_hold_all_rows_and_only_rows_refuses(spark):
     n = 10_050
     e = make(spark, rows=[(D1, f"r{i:05d}", 1, None, 0, 0.0, 0, None) for i in range(n)])
     asked = {"metrics": ["total"], "dimensions": ["region"], "grain": "day", "range": {"start": "2026-01-01", "end": "2026-01-03"}}
-    for answer in (e.ask(asked), e.sql("SELECT region, sum(amount_cents) AS total FROM events GROUP BY region ORDER BY region")):
+    for code, answer in (("result_too_large", e.ask(asked)), ("too_many_rows", e.sql("SELECT region, sum(amount_cents) AS total FROM events GROUP BY region ORDER BY region"))):
         assert [r["region"] for r in answer.df.collect()] == [f"r{i:05d}" for i in range(n)]
-        with pytest.raises(Refusal, match="result_too_large"):
+        with pytest.raises(Refusal, match=code):
             answer.rows()

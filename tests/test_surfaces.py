@@ -41,6 +41,10 @@ def test_statements_run(spark, frames):
         ("construct_not_allowed", "SELECT repeat(region, 1000) FROM dim_customer"), ("construct_not_allowed", "SELECT id FROM dim_customer; SELECT 1"),
         ("unknown_table", "SELECT (SELECT max(x) FROM secrets) FROM dim_customer"), ("unknown_table", "SELECT id FROM dim_customer WHERE id IN (SELECT id FROM secrets)"),
         ("unknown_table", "SELECT * FROM parquet.`/etc`"), ("exists_in_projection", "SELECT EXISTS (SELECT 1 FROM dim_region) FROM dim_customer"),
+        ("construct_not_allowed", "SELECT s.id FROM dim_customer, IDENTIFIER('parquet.`/etc`') s"), ("construct_not_allowed", "SELECT s.id FROM dim_customer, IDENTIFIER('secret_t') s"),
+        ("construct_not_allowed", "SELECT IDENTIFIER('i' || 'd') FROM dim_customer"), ("construct_not_allowed", "SELECT array_join(array_repeat(region, 1000000), '') FROM dim_customer"),
+        ("construct_not_allowed", "SELECT d.id FROM dim_customer d JOIN (VALUES (1)) v(x) ON d.id = v.x"), ("construct_not_allowed", "SELECT java_method('java.lang.System', 'exit') FROM dim_customer"),
+        ("construct_not_allowed", "SELECT transform(array(id), x -> x) FROM dim_customer"), ("construct_not_allowed", "SELECT _metadata.file_path.x[1] FROM dim_customer"),
         ("statement_too_long", "SELECT id FROM dim_customer -- " + "x" * 70_000), ("expression_too_large", "SELECT id" + " + 1" * 1100 + " FROM dim_customer"),
     ],
 )
@@ -119,7 +123,7 @@ def test_importers(spark):
     keys = [("fk1", "orders", "cust", "cust", "id", 1), ("fk2", "orders", "id", "tmp_x", "id", 1)]
     c = importers.from_dictionary(
         spark.createDataFrame(columns, "table_name string, column_name string, data_type string, is_nullable string, ordinal_position int"),
-        spark.createDataFrame(keys, "constraint_name string, table_name string, column_name string, target_table string, target_column string, ordinal_position int"), "db", exclude=("tmp_*",),
+        spark.createDataFrame(keys, "constraint_name string, table_name string, column_name string, target_table string, target_column string, ordinal_position int"), "db", exclude=("tmp_*", "[c]ust"),
     )
     assert set(c.models) == {"orders", "cust"} and set(c.relationships) == {"fk1"} and not c.models["orders"].columns["id"].nullable
     c = importers.from_data_contract("schema:\n  - name: t\n    properties:\n      - {name: a, logicalType: integer, primaryKey: true, description: key}\n", "db")
@@ -137,7 +141,7 @@ def test_importers(spark):
 
 
 def test_deadline_and_budgets(spark):
-    from tallyloom.engine import Answer
+    from tallyloom.engine import Answer, told_by
     from tallyloom.model import Limits
 
     slow = spark.range(10**12).selectExpr("sum((id % 7) * (id % 11)) AS s")
@@ -145,6 +149,11 @@ def test_deadline_and_budgets(spark):
         Answer(slow, "", Limits(seconds=1.5)).rows()
     with pytest.raises(Refusal, match="budget_exhausted"):
         Answer(spark.range(10**6), "", Limits(scan_bytes=1000)).rows()
+    with pytest.raises(Refusal, match="too_many_rows"):
+        Answer(spark.range(1000), "", Limits(rows=10), "too_many_rows").rows()
+    with pytest.raises(Refusal, match="resources_exhausted"):
+        raise told_by(RuntimeError("java.lang.OutOfMemoryError: Java heap space"))
+    assert told_by(RuntimeError("else")) is None
     with pytest.raises(Refusal, match="result_too_large"):
         Answer(spark.range(1000), "", Limits(answer_bytes=1000)).rows()
     assert len(Answer(spark.range(3), "", Limits()).rows()) == 3
@@ -154,7 +163,9 @@ def test_declared_schemas_and_csv(spark, tmp_path):
     from tallyloom.model import Column
 
     (tmp_path / "x.csv").write_text("a,b\n1,2.50\nz,1\n")
-    schema = files.declared({"a": Column("a", "BIGINT"), "b": Column("b", "NUMERIC(10,2)"), "c": Column("c", "GEOMETRY")})
+    schema = files.declared({"a": Column("a", "BIGINT"), "b": Column("b", "NUMERIC(10,2)"), "c": Column("c", "TEXT")})
     assert [f.dataType.simpleString() for f in schema] == ["bigint", "decimal(10,2)", "string"]
+    with pytest.raises(Refusal, match="invalid_definition"):
+        files.declared({"c": Column("c", "GEOMETRY")})
     with pytest.raises(Exception, match="MALFORMED"):
         files.csv(spark, str(tmp_path / "x.csv"), files.T.StructType(schema.fields[:2])).collect()
