@@ -16,8 +16,8 @@ from .common import mapped, materialize, memory
 
 #: Words of a window, and of the part of its prefix that names its group.
 WINDOW, GRAM = 50, 15
-#: Runs of a group beyond which it is split, and words whose suffixes one tree holds at a time.
-GROUP_ROWS, TREE_WORDS = 20_000, 400_000
+#: Runs of a group beyond which it is split, and words that one tree holds at most (but for a longer run).
+GROUP_ROWS, TREE_WORDS = 5_000, 400_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -93,44 +93,42 @@ def _extended(w: list[str], place: int, begin: int, n: int) -> list[tuple[int, i
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, groups, runs: the distinct hashes of the anchors of runs of windows, and how many runs each has."""
+    """doc_id, mark, text_key, groups, runs: the distinct hashes of the anchors of runs of windows, and how many runs each has."""
+    schema = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "text_key": pa.binary(), "groups": pa.list_(pa.int64()), "runs": pa.list_(pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                keys, groups, runs = [], [], []
-                for text in batch.column(1).slice(at, 1000).to_pylist():
-                    w = words(text)
-                    keys.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) if len(w) >= WINDOW else None)
-                    place, group = anchors(w)
-                    own, many = np.unique(group[_runs(place)[0]], return_counts=True)
-                    groups.append(own)
-                    runs.append(many)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text_key", "groups", "runs"])
+            rows = []
+            for doc_id, mark, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "text")), strict=True):
+                w = words(text)
+                place, group = anchors(w)
+                own, many = np.unique(group[_runs(place)[0]], return_counts=True)
+                rows.append((doc_id, mark, xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) if len(w) >= WINDOW else None, own, many))
+            yield _made(rows, schema)
 
-    return mapped(docs, run, "doc_id long, text_key binary, groups array<long>, runs array<long>")
+    return mapped(docs, run, "doc_id long, mark long, text_key binary, groups array<long>, runs array<long>")
 
 
 def _runs_of(joined: DataFrame) -> DataFrame:
-    """doc_id and the runs (group, splits, begin, windows, words) of each document whose anchors are among its `hot` ones."""
-    schema = pa.schema({"doc_id": pa.int64(), "group": pa.int64(), "splits": pa.int32(), "begin": pa.int64(), "windows": pa.int32(), "words": pa.string()})
+    """The runs (doc_id, mark, group, common, begin, windows, words) of each document whose anchors are among its `hot` ones."""
+    schema = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "group": pa.int64(), "common": pa.bool_(), "begin": pa.int64(), "windows": pa.int32(), "words": pa.string()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, hot in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "hot")), strict=True):
-                w, splits = words(text), {x["group"]: x["splits"] for x in hot}
+            for doc_id, mark, text, hot in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "text", "hot")), strict=True):
+                w, common = words(text), {x["group"]: x["common"] for x in hot}
                 place, group = anchors(w)
                 for begin, n in zip(*(x.tolist() for x in _runs(place)), strict=True):
-                    if g := splits.get(int(group[begin])):
-                        parts = [(int(group[begin]), begin, n)] if g == 1 else _extended(w, int(place[begin]), begin, n)
-                        rows += [(doc_id, name, g, at, k, " ".join(w[at : at + k - 1 + WINDOW])) for name, at, k in parts]
+                    if (often := common.get(int(group[begin]))) is not None:
+                        parts = _extended(w, int(place[begin]), begin, n) if often else [(int(group[begin]), begin, n)]
+                        rows += [(doc_id, mark, name, often, at, k, " ".join(w[at : at + k - 1 + WINDOW])) for name, at, k in parts]
                 if len(rows) >= 5000:
                     yield _made(rows, schema)
                     rows = []
             yield _made(rows, schema)
 
-    return mapped(joined, run, "doc_id long, group long, splits int, begin long, windows int, words string")
+    return mapped(joined, run, "doc_id long, mark long, group long, common boolean, begin long, windows int, words string")
 
 
 def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -162,82 +160,95 @@ def _cut(joined: DataFrame) -> DataFrame:
     return mapped(joined, run, "doc_id long, text string, n_words long, spans array<struct<start:long,stop:long>>")
 
 
-def nodes(words_: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """The node at `depth` of the tree of all suffixes, for every suffix: equal numbers for equal first words. Names of
-    twice the length are pairs of names, so few rounds lead to the depth; suffixes past the end are of no use."""
-    name, done = np.unique(words_, return_inverse=True)[1].astype(np.int64), 1
-    while done < depth:
-        step = min(done, depth - done)
-        pairs = name[: len(name) - step] * (len(name) + 1) + name[step:]
-        name, done = np.unique(pairs, return_inverse=True)[1].astype(np.int64), done + step
-    return name
-
-
-def _trees(runs: DataFrame, final: bool) -> DataFrame:
-    """doc_id, begin, hits (starts and stops of windows that begin in a document with a smaller id), and, where its group
-    was split, the run itself if some of its windows was the first of its group.
-
-    `runs` come sorted by group and doc_id. A tree takes the suffixes of as many whole groups, or of as much of a group,
-    as fit; of a larger group, the runs with first windows stay for the next tree. So memory is bounded by what differs
-    within a group, not by its copies."""
-    schema = pa.schema({"doc_id": pa.int64(), "begin": pa.int64(), "hits": pa.list_(pa.int64()), "group": pa.int64(), "windows": pa.int32(), "words": pa.string()})
-
-    tree_words = TREE_WORDS
-
-    def tree(rows: list[tuple]) -> np.ndarray:
-        """Flags, by run and window; all of a deep node's suffixes but those of its smallest document."""
-        texts = [r[5].split(" ") for r in rows]
-        lengths = np.array([len(t) for t in texts])
-        starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter(map(memory("suffixdedup", _Hashes).__getitem__, chain.from_iterable(texts)), np.uint64, lengths.sum())
-        node = nodes(flat)
-        counts = np.array([r[4] for r in rows])
+class Tree:
+    """The tree of some suffixes of a row of words down to `depth`, as the order of its leaves and, between neighbours, the
+    depth of the node that parts them (the words that both begin with): an internal node is a stretch of leaves
+    whose neighbours are parted no higher. The words are compared themselves, by their places in a dictionary.
+
+    The leaves are ordered by ranks of 1, 2, 4 ... words, each the order of pairs of the one before, and the depths
+    are read off the same ranks, the longest first."""
+
+    def __init__(self, words_: np.ndarray, starts: np.ndarray, depth: int = WINDOW):
+        ranks, done = {1: np.unique(words_, return_inverse=True)[1].astype(np.int64)}, 1
+        while 2 * done <= depth:
+            name = ranks[done]
+            ranks[2 * done] = np.unique(name[:-done] * (len(name) + 1) + name[done:], return_inverse=True)[1].astype(np.int64)
+            done *= 2
+        parts, at = [], 0
+        for length in sorted(ranks, reverse=True):
+            if at + length <= depth:
+                parts.append(ranks[length][starts + at])
+                at += length
+        self.leaves = np.lexsort(parts[::-1])
+        ordered = starts[self.leaves]
+        left, right = ordered[:-1], ordered[1:]
+        self.depths = np.zeros(len(left), np.int64)
+        for length in sorted(ranks, reverse=True):
+            room = self.depths + length <= depth
+            a, b = (np.where(room, x + self.depths, 0) for x in (left, right))
+            self.depths += length * (room & (ranks[length][a] == ranks[length][b]))
+
+    def nodes(self, depth: int = WINDOW) -> np.ndarray:
+        """The highest nodes of at least that depth, single leaves among them: where each begins among the leaves."""
+        return np.concatenate([[0], np.flatnonzero(self.depths < depth) + 1]) if len(self.leaves) else np.zeros(0, np.int64)
+
+
+def _trees(runs: DataFrame) -> DataFrame:
+    """doc_id, mark, hits (starts and stops of windows that begin in a document with a smaller id), firsts (of groups that no one
+    tree holds: the windows that are the first of their node in this tree, by the 128-bit hash of their words).
+
+    `runs` come sorted by group. A tree takes the suffixes of as many groups, or of as much of one, as fit; it never takes
+    more, whatever is in a group, and what several trees know of one group is brought together afterwards."""
+    firsts = pa.list_(pa.struct([("node", pa.binary()), ("at", pa.int64())]))
+    schema = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "hits": pa.list_(pa.int64()), "firsts": firsts})
+    most = TREE_WORDS
+
+    def repeated(rows: list[tuple], texts: list[list[str]]) -> np.ndarray:
+        """Flags, by run and window: all leaves of a deep node but those of its smallest document."""
+        lengths, numbers = np.array([len(t) for t in texts]), {}
+        flat = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(texts)), np.int64, lengths.sum())
+        counts = np.array([r[5] for r in rows])
         run = np.repeat(np.arange(len(rows)), counts)
-        place = starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-        doc = np.array([r[2] for r in rows])[run]
-        # windows of different groups differ in their words, so nodes need no group
-        own = node[place]
-        least = np.full(own.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, own, doc)
-        return doc > least[own]
+        starts = (np.cumsum(lengths) - lengths)[run] + np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        tree = Tree(flat, starts)  # windows of different groups differ in their words, so one tree serves all its groups
+        doc, begin = np.array([r[2] for r in rows])[run][tree.leaves], tree.nodes()
+        least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(doc))))
+        flags = np.zeros(len(doc), bool)
+        flags[tree.leaves] = doc > least
+        return flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (group, splits, doc_id, begin, windows, words)
-        old = 0  # of them, how many have been told
-        size = 0
-
-        def tell(more: bool) -> pa.RecordBatch:
-            nonlocal held, old, size
-            flags, at, out, stay = tree(held), 0, [], []
-            for k, (group, splits, doc_id, begin, n, text) in enumerate(held):
+        held: list[tuple] = []  # (group, splits, doc_id, mark, begin, windows, words)
+        size, begun = 0, None  # a group that a tree before has begun
+
+        def tell(goes_on: bool) -> pa.RecordBatch:
+            nonlocal held, size, begun
+            texts = [r[6].split(" ") for r in held]
+            flags, at, out, last = repeated(held, texts), 0, [], held[-1][0]
+            for (group, splits, doc_id, mark, begin, n, _), text in zip(held, texts, strict=True):
                 own = flags[at : at + n]
                 at += n
-                first = not own.all()
-                if k >= old:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-                    part = first and splits > 1 and not final
-                    if len(edge) or part:
-                        out.append((doc_id, begin, (edge + begin).tolist(), group, n, text if part else None))
-                if more and first and group == held[-1][0]:
-                    stay.append(held[k])
-            held, old, size = stay, len(stay), sum(len(r[5]) for r in stay) // 6
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+                new = []
+                if splits > 1 or group == begun or (goes_on and group == last):
+                    for k in np.flatnonzero(~own).tolist():
+                        new.append({"node": xxhash.xxh3_128_digest(" ".join(text[k : k + WINDOW]).encode("utf-8", "surrogatepass")), "at": begin + k})
+                if len(edge) or new:
+                    out.append((doc_id, mark, (edge + begin).tolist(), new))
+            held, size, begun = [], 0, last if goes_on else None
             return _made(out, schema)
 
-        limit = tree_words
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("group", "splits", "doc_id", "begin", "windows", "words")), strict=True):
-                if size >= limit and held and row[0] != held[-1][0]:
-                    yield tell(False)
-                    limit = tree_words
-                elif size >= limit + tree_words:
-                    yield tell(True)
-                    limit = max(tree_words, 2 * size)  # what stays differs: the tree grows with it
+            for row in zip(*(batch.column(n).to_pylist() for n in ("group", "splits", "doc_id", "mark", "begin", "windows", "words")), strict=True):
+                if held and size + row[5] + WINDOW > most:
+                    yield tell(row[0] == held[-1][0])
                 held.append(row)
-                size += row[4] + WINDOW
+                size += row[5] + WINDOW
         if held:
             yield tell(False)
 
-    return mapped(runs.select("group", "splits", "doc_id", "begin", "windows", "words"), run, "doc_id long, begin long, hits array<long>, group long, windows int, words string")
+    columns = runs.select("group", "splits", "doc_id", "mark", "begin", "windows", "words")
+    return mapped(columns, run, "doc_id long, mark long, hits array<long>, firsts array<struct<node:binary,at:long>>")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -245,30 +256,37 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     covered by a window of 50 words whose words also begin in a document with a smaller doc_id; how many words there were,
     and which spans of them went. Windows are judged on the input.
 
-    A suffix (a window's start) falls in the group of its prefix up to the end of its smallest hashed gram, so prefixes
-    have 15 to 50 words. Groups that occur in one document only hold no repeat and end there. The others' suffixes go,
-    as runs of neighbours, to trees, whose nodes 50 words deep say where they repeat. A group of over 20,000 runs takes
-    33 words for its name instead of 15, which parts what merely shares a line; and as copies of a passage share even
-    those, its runs are dealt into parts: a first tree of each part leaves the first windows of it, a second one holds
-    those against each other. A document whose words equal those of one with a smaller id goes whole, before all that.
-
-    Null or short texts keep all words. Rows that repeat a doc_id count as one document; a null doc_id
-    neither repeats others nor is repeated. Other columns are not read; an empty table gives no rows.
+    Suffixes (the windows' starts) are partitioned by prefixes of 15 to 50 words: up to the end of the smallest hashed
+    15-gram of the window, so that neighbours share a group and travel together as a run. Groups that occur in one document
+    only hold no repeat and end there. A group of over 5,000 runs takes 33 words instead of 15, which parts what merely
+    shares a line. Each task builds the trees of its groups, of a bounded number of words each; the nodes 50 words deep
+    hold what repeats. A group that is still larger (copies of a passage share any prefix) is dealt into parts and trees,
+    whose deep nodes, each with its smallest document, are merged by a grouping; a node meets as many rows there as
+    trees hold it, not as many as there are copies. A document whose words equal those of one with a smaller id goes
+    whole, before all that.
+
+    Null or short texts keep all words; of very long ones a task holds one at a time. Rows that repeat a doc_id do not
+    repeat each other and are judged each by its own text; a null doc_id neither repeats others nor is repeated. Other
+    columns are not read; an empty table gives no rows.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    row = ["doc_id", "mark"]
     survey = materialize(_surveyed(own))
     known = survey.filter("doc_id is not null and text_key is not null")
     first = known.groupBy("text_key").agg(F.min("doc_id").alias("least"))
-    copies = materialize(known.select("doc_id", "text_key").join(first, "text_key").filter("doc_id > least").select("doc_id").distinct())
-    single = known.select("doc_id", "groups", "runs").join(copies, "doc_id", "left_anti").select("doc_id", F.inline(F.arrays_zip("groups", "runs"))).withColumnRenamed("groups", "group")
-    met = single.groupBy("group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("runs").alias("n")).filter("low < high").select("group", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("splits"))
-    hot = single.select("doc_id", "group").join(met, "group").groupBy("doc_id").agg(F.collect_set(F.struct("group", "splits")).alias("hot"))
-    runs = materialize(_runs_of(own.join(hot.hint("merge"), "doc_id").select("doc_id", "text", "hot")))
-    part = F.pmod(F.xxhash64("doc_id", "begin"), F.col("splits"))
-    found = materialize(_trees(runs.withColumn("part", part).repartition("group", "part").sortWithinPartitions("group", "part", "doc_id"), False))
-    left = found.filter("words is not null").withColumn("splits", F.lit(1))
-    again = _trees(left.repartition("group").sortWithinPartitions("group", "doc_id"), True)
-    hits = found.select("doc_id", "hits").unionByName(again.select("doc_id", "hits")).filter(F.size("hits") > 0)
-    hits = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    about = copies.withColumn("copy", F.lit(True)).join(hits, "doc_id", "full")
-    return _cut(own.join(about.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "hits"))
+    copies = materialize(known.select(*row, "text_key").join(first, "text_key").filter("doc_id > least").select(*row).distinct())
+    single = known.select(*row, "groups", "runs").join(copies, row, "left_anti").select(*row, F.inline(F.arrays_zip("groups", "runs"))).withColumnRenamed("groups", "group")
+    met = single.groupBy("group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("runs").alias("n")).filter("low < high").select("group", (F.col("n") > GROUP_ROWS).alias("common"))
+    hot = single.select(*row, "group").join(met, "group").groupBy(*row).agg(F.collect_set(F.struct("group", "common")).alias("hot"))
+    runs = materialize(_runs_of(own.join(hot.hint("merge"), row).select(*row, "text", "hot")))
+    large = runs.filter("common").groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("group", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("splits"))
+    dealt = runs.join(large, "group", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "begin"), F.col("splits"))).repartition("group", "part").sortWithinPartitions("group", "part", "doc_id")
+    found = materialize(_trees(dealt))
+    firsts = found.select(*row, F.inline("firsts"))
+    least = firsts.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    again = firsts.join(least, "node").filter("doc_id > least").select(*row, F.array("at", F.col("at") + 1).alias("hits"))
+    hits = found.select(*row, "hits").filter(F.size("hits") > 0).unionByName(again)
+    hits = hits.groupBy(*row).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    about = copies.withColumn("copy", F.lit(True)).join(hits, row, "full")
+    return _cut(own.join(about.hint("merge"), row, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "hits"))

@@ -131,9 +131,33 @@ def test_removal_of_odd_tables(corpus, prose):
     assert sorted((r["doc_id"] or 0, len(r["text"].split())) for r in rows) == [(0, 60), (2, 60), (4, 0), (4, 0)]
 
 
-def test_nodes_name_equal_suffixes():
+def test_rows_of_one_id_are_judged_by_their_own_texts(corpus, prose):
+    a, b = " ".join(prose(1, 70)), " ".join(prose(2, 70))
+    rows = suffixdedup.deduplicated(corpus([(1, a), (5, a), (5, b), (5, b + " x"), (8, b)])).collect()
+    assert sorted((r["doc_id"], len(r["text"].split())) for r in rows) == [(1, 70), (5, 0), (5, 70), (5, 71), (8, 0)]
+
+
+def test_a_tree_has_the_nodes_of_plain_comparison():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 2, 400)
-    names = suffixdedup.nodes(w, 7)
-    own = [tuple(w[i : i + 7]) for i in range(len(names))]
-    assert len(names) == 394 and all((names[i] == names[j]) == (own[i] == own[j]) for i in range(0, 394, 9) for j in range(394))
+    starts = rng.permutation(394)[:300]
+    for depth in (7, 6):
+        tree = suffixdedup.Tree(w, starts, depth)
+        own = [tuple(w[p : p + depth]) for p in starts[tree.leaves]]
+        common = [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(own, own[1:])]
+        assert tree.depths.tolist() == common
+        for d in range(1, depth + 1):
+            begin = tree.nodes(d)
+            sizes = np.diff(np.append(begin, len(own)))
+            assert len({x[:d] for x in own}) == len(begin) and all(len({x[:d] for x in own[b : b + n]}) == 1 for b, n in zip(begin, sizes))
+
+
+def test_trees_hold_a_bounded_number_of_words(spark, corpus, prose, monkeypatch):
+    """One group with a thousand runs that differ: more than a tree may hold, with and without split groups."""
+    line = prose(3, 20)
+    docs = [(k, " ".join([*prose(100 + k // 2, 40), *line, *prose(900 + k // 3, 40)])) for k in range(300)]
+    monkeypatch.setattr(suffixdedup, "TREE_WORDS", 2000)
+    for rows in (50, 10**6):
+        monkeypatch.setattr(suffixdedup, "GROUP_ROWS", rows)
+        got = {r["doc_id"]: (r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), sha256(r["text"].encode()).hexdigest()) for r in suffixdedup.deduplicated(corpus(docs)).collect()}
+        assert got == brute_removal(docs)
