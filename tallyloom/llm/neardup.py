@@ -110,20 +110,20 @@ def similarity(a: str | None, b: str | None) -> float:
 
 
 def _signed(docs: DataFrame, wordless: bool) -> DataFrame:
-    """doc_id, text_key (of the words; without any, of the text if `wordless`, else null), bands."""
+    """doc_id, mark, text_key (of the words; without any, of the text if `wordless`, else null), bands."""
+    schema = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "text_key": pa.binary(), "bands": pa.list_(pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                keys, found = [], []
-                for text in batch.column(1).slice(at, 1000).to_pylist():
-                    w = words(text)
-                    known = " ".join(w) if w else "\0" + text if wordless and text is not None else None
-                    keys.append(None if known is None else xxhash.xxh3_128_digest(known.encode("utf-8", "surrogatepass")))
-                    found.append(bands(signature(*bag(w))) if w else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"])
+            keys, found = [], []
+            for text in batch.column("text").to_pylist():
+                w = words(text)
+                known = " ".join(w) if w else "\0" + text if wordless and text is not None else None
+                keys.append(None if known is None else xxhash.xxh3_128_digest(known.encode("utf-8", "surrogatepass")))
+                found.append(bands(signature(*bag(w))) if w else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text_key binary, bands array<long>")
+    return mapped(docs, run, "doc_id long, mark long, text_key binary, bands array<long>")
 
 
 def forest(texts: list[str | None]) -> np.ndarray:
@@ -158,7 +158,7 @@ def forest(texts: list[str | None]) -> np.ndarray:
 
 
 def _linked(cells: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect, within each cell (family, cell, doc_id, text), what similarities connect there."""
+    """Edges (a, b) that connect, within each cell (cell, member, text), what similarities connect there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, texts = None, [], []
@@ -170,21 +170,37 @@ def _linked(cells: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[root[moved]])], ["a", "b"])
 
         for batch in batches:
-            for family, cell, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("family", "cell", "doc_id", "text")), strict=True):
-                if (family, cell) != at:
+            for cell, member, text in zip(*(batch.column(n).to_pylist() for n in ("cell", "member", "text")), strict=True):
+                if cell != at:
                     if len(ids) > 1:
                         yield told()
-                    at, ids, texts = (family, cell), [], []
-                if not ids or ids[-1] != doc_id:
-                    ids.append(doc_id)
+                    at, ids, texts = cell, [], []
+                if not ids or ids[-1] != member:
+                    ids.append(member)
                     texts.append(text)
         if len(ids) > 1:
             yield told()
 
-    dealt = cells.select("family", "cell", "doc_id", "text").repartition("family", "cell").sortWithinPartitions("family", "cell", "doc_id")
+    dealt = cells.select("cell", "member", "text").repartition("cell").sortWithinPartitions("cell", "member")
     return mapped(dealt, run, "a long, b long")
 
 
+def _met_again(large: DataFrame, found: DataFrame) -> DataFrame:
+    """member, cell: in each large family (member, family, n) the members off its largest component so far, in blocks, meet each
+    other and every block of that component."""
+    now = large.join(found.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    parts = now.groupBy("family", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside"))
+    now = now.join(main, "family").filter("inside < n")
+    inner, outer = F.ceil(F.col("inside") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
+    draw = lambda seed, m: F.pmod(F.xxhash64("member", F.lit(seed)), m).cast("int")
+    off, own = F.col("component") != F.col("main"), draw(3, outer)
+    name = lambda x, y: F.concat_ws(" ", F.least(x, y).cast("string"), F.greatest(x, y).cast("string"))
+    with_main = lambda x, y: F.concat_ws(" ", x.cast("string"), F.lit("main"), y.cast("string"))
+    cells = F.when(off, F.concat(F.transform(F.sequence(F.lit(0), outer - 1), lambda j: name(own, j)), F.transform(F.sequence(F.lit(0), inner - 1), lambda j: with_main(own, j)))).otherwise(F.transform(F.sequence(F.lit(0), outer - 1), lambda i: with_main(i, draw(4, inner))))
+    return now.select("member", F.explode(cells).alias("cell")).join(large.select("member", "family"), "member").select("member", F.concat_ws(" ", "family", "cell").alias("cell"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of a graph of edges (a, b), by alternating stars: in each round the neighbours
     above a node, then those below it, are hung on the smallest of them, until nothing changes. Sums are partial before
@@ -213,42 +229,39 @@ def classes(docs: DataFrame, wordless: bool = False) -> DataFrame:
     Equal texts (but for case and punctuation) are one member from the start, so copies never meet in pairs. Members
     that share a band fall in a bucket, buckets that share members in a family. A family of up to 1024 members is one
     cell, whose texts are compared in one task with an inverted index, exactly. A larger one is first cut into cells of
-    about 512 members, each with about 16 common ones; then the members off its largest component so far, in blocks, meet
-    each other and every block of that component. So every pair of a family that could join two classes is compared,
-    no group is capped, no task holds more than two blocks, and no pairs are emitted, only edges of a forest.
+    about 512 members, each with about 16 common ones, which joins most of a class; then the members off its largest
+    component so far, in blocks, meet each other and every block of that component. So every pair of a family that could
+    join two classes is compared, no group is capped, no task holds more than two blocks, and no pairs are emitted, only
+    edges of a forest. What travels in that last step grows, for each family, with the number of its members times the
+    number of blocks off the component, so with the square of a family whose members are mostly under 0.8.
+
     Texts without words (if `wordless`, only null ones; equal ones are a class), and null doc_ids, are alone (class_id is
-    doc_id). Rows that repeat a doc_id share a class if
-    their texts do. An empty table gives no rows.
+    doc_id). Rows that repeat a doc_id are members by their own texts. Of very long texts a task holds those of one cell.
+    Other columns are not read; an empty table gives no rows.
     """
-    signed = materialize(_signed(docs, wordless))
-    members = signed.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands"))
-    members = materialize(members)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = materialize(_signed(own, wordless))
+    members = signed.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min(F.struct("doc_id", "mark")).alias("place"), F.first("bands").alias("bands"))
+    members = materialize(members.select(F.monotonically_increasing_id().alias("member"), "text_key", "place.doc_id", "place.mark", "bands"))
     buckets = members.select("member", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("member").alias("least")).filter("n > 1").select("bucket", "least")
     stars = buckets.join(shared, "bucket").filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
-    families = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    families = materialize(families.unionByName(families.select(F.col("family").alias("doc_id"), "family").distinct()))
+    families = components(stars).select(F.col("node").alias("member"), F.col("component").alias("family"))
+    families = materialize(families.unionByName(families.select(F.col("family").alias("member"), "family").distinct()))
     size = families.groupBy("family").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(texts.join(families.join(size, "family").hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("family").alias("family"), F.first("n").alias("n")))
-    draw = lambda seed, m: F.pmod(F.xxhash64("doc_id", F.lit(seed)), m).cast("int")
+    placed = members.select("member", "doc_id", "mark").join(families.join(size, "family"), "member")
+    texts = own.join(placed.hint("merge"), ["doc_id", "mark"]).groupBy("member").agg(F.first("text").alias("text"), F.first("family").alias("family"), F.first("n").alias("n"))
+    texts = materialize(texts)
+    draw = lambda seed, m: F.pmod(F.xxhash64("member", F.lit(seed)), m).cast("int")
     blocks = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK))
-    common = (F.col("doc_id") == F.col("family")) | (draw(1, F.col("n")) < COMMON)
+    common = (F.col("member") == F.col("family")) | (draw(1, F.col("n")) < COMMON)
     everywhere = F.when(common & (blocks > 1), F.sequence(F.lit(0), blocks.cast("int") - 1)).otherwise(F.array(draw(2, blocks)))
-    edges = materialize(_linked(texts.withColumn("cell", F.explode(everywhere))))
+    edges = materialize(_linked(texts.withColumn("cell", F.explode(everywhere)).withColumn("cell", F.concat_ws(" ", "family", "cell"))))
     found = materialize(components(edges))
     large = texts.filter(F.col("n") > 2 * BLOCK)
     if not large.isEmpty():
-        now = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        parts = now.groupBy("family", "component").agg(F.count("*").alias("size"))
-        main = parts.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside")).join(size, "family").filter("inside < n")
-        now = now.drop("n").join(main, "family")
-        inner, outer = F.ceil(F.col("inside") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
-        off, own = F.col("component") != F.col("main"), draw(3, outer)
-        name = lambda x, y: F.concat_ws(" ", F.least(x, y).cast("string"), F.greatest(x, y).cast("string"))
-        with_main = lambda x, y: F.concat_ws(" ", x.cast("string"), F.lit("main"), y.cast("string"))
-        cells = F.when(off, F.concat(F.transform(F.sequence(F.lit(0), outer - 1), lambda j: name(own, j)), F.transform(F.sequence(F.lit(0), inner - 1), lambda j: with_main(own, j)))).otherwise(F.transform(F.sequence(F.lit(0), outer - 1), lambda i: with_main(i, draw(4, inner))))
-        more = _linked(now.withColumn("cell", F.explode(cells)))
+        more = _linked(large.select("member", "text").join(_met_again(large.select("member", "family", "n"), found), "member"))
         found = materialize(components(edges.unionByName(more)))
-    named = members.select("text_key", "member").join(found.withColumnRenamed("node", "member"), "member", "left").select("text_key", F.coalesce("component", "member").alias("class_id"))
+    named = members.select("text_key", "member", "doc_id").join(found.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("text_key", "class_id")
     return signed.select("doc_id", "text_key").join(named, "text_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -60,6 +60,28 @@ def test_classes_of_odd_tables(corpus):
     assert sorted((r["doc_id"] or 0, r["class_id"]) for r in rows) == [(0, None), (3, 3), (5, 3), (5, 3), (9, 9)]
 
 
+def test_rows_of_one_id_are_members_by_their_own_texts(corpus, prose):
+    rng = random.Random(4)
+    a, b = prose(1, 120), prose(2, 120)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(changed(rng, b, 0.01))), (9, " ".join(changed(rng, a, 0.01))), (3, "alone")]
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(corpus(rows)).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_a_family_mostly_under_the_limit_loses_no_link(spark, corpus, prose, monkeypatch):
+    """Texts that share 80 % of their words: one family, hardly a link; what travels is counted."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "COMMON", 4)
+    sent, linked = [], neardup._linked
+    monkeypatch.setattr(neardup, "_linked", lambda cells: sent.append(cells.count()) or linked(cells))
+    base, n = prose(5, 200), 300
+    docs = [(k, " ".join(base[:160] + prose(1000 + k, 40))) for k in range(n)]
+    docs += [(n + k, docs[k * 7][1] + " z") for k in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(corpus(docs)).collect()}
+    assert all(got[n + k] == got[k * 7] for k in range(20)) and got == brute_classes(docs)
+    assert sum(sent) < (n + 20) * (2 + 2 * (n + 20) / 32)
+
+
 def test_signatures_estimate_weighted_jaccard_without_bias():
     estimates, truth = [], None
     for k in range(150):
