@@ -280,6 +280,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hot = single.select(*row, "group").join(met, "group").groupBy(*row).agg(F.collect_set(F.struct("group", "common")).alias("hot"))
     runs = materialize(_runs_of(own.join(hot.hint("merge"), row).select(*row, "text", "hot")))
     large = runs.filter("common").groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("group", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("splits"))
+    large = materialize(large)  # so its size is known before the join, and if it is small the runs need no exchange for it
     dealt = runs.join(large, "group", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "begin"), F.col("splits"))).repartition("group", "part").sortWithinPartitions("group", "part", "doc_id")
     found = materialize(_trees(dealt))
