@@ -76,7 +76,8 @@ class Postings:
             items.append((item_id, *([terms[w] for w in part] for part in question_and_answer(text))))
         keys, impacts = (np.concatenate(x) for x in zip(*posted, strict=True))
         order = np.argsort(keys)
-        keys, impacts = keys[order].astype(np.int64), impacts[order]
+        narrow = (len(terms) + 2) * (n + 1) < 2**31
+        keys, impacts = keys[order].astype(np.int32 if narrow else np.int64), impacts[order]
         first = np.searchsorted(keys, np.arange(len(terms) + 2) * (n + 1))
         sizes = -(-np.diff(first) // BLOCK)
         block_first = np.concatenate([[0], np.cumsum(sizes)])
@@ -95,7 +96,9 @@ class Postings:
         maxima could reach the threshold; if the maxima of the blocks that hold the pivot cannot, all cursors leap past
         the first of those blocks to end, else they meet at the pivot, which is scored. A row ends without a pivot."""
         n, least = len(self.items), SCORE - 1e-9
-        base, row = terms.astype(np.int64) * (n + 1), np.arange(len(terms))
+        row = np.flatnonzero(self.top[terms].sum(1) >= least)  # the others have no pivot
+        terms = terms[row]
+        base = (terms * (n + 1)).astype(self.keys.dtype)
         at, end, top = self.first[terms], self.first[terms + 1], self.top[terms]
         self.counted["passages"] += len(row)
 
@@ -126,13 +129,15 @@ class Postings:
             behind = now < target[:, None]
             moved(behind, np.broadcast_to(target[:, None], now.shape)[behind])
             self.counted["skipped"] += int(np.count_nonzero(~open_[r] & some))
-            if open_.any():
-                meets = np.where(at < end, self.keys[np.minimum(at, len(self.keys) - 1)] - base, n) == np.where(open_, pivot, -1)[:, None]
-                score = (np.where(meets, self.impacts[np.minimum(at, len(self.keys) - 1)], 0.0)).sum(1)
-                self.counted["scored"] += int(open_.sum())
-                for i in np.flatnonzero(open_ & (score >= least)):
-                    yield int(row[i]), int(pivot[i]), float(score[i])
-                at[meets] += 1
+            scored = np.flatnonzero(open_)
+            if len(scored):
+                place = np.minimum(at[scored], len(self.keys) - 1)
+                meets = (at[scored] < end[scored]) & (self.keys[place] - base[scored] == pivot[scored, None])
+                score = np.where(meets, self.impacts[place], 0.0).sum(1)
+                self.counted["scored"] += len(scored)
+                for i in np.flatnonzero(score >= least):
+                    yield int(row[scored[i]]), int(pivot[scored[i]]), float(score[i])
+                at[scored] += meets
 
 
 @dataclass
