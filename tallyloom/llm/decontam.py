@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -24,6 +25,8 @@ SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
 #: Passages that are searched side by side.
 ABREAST = 1024
+#: A list's maximum in a cursor: its low 32 bits, in these parts, rounded up.
+UNIT, LOW = 1 << 24, (1 << 32) - 1
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -60,7 +63,11 @@ class Postings:
     impacts: np.ndarray
     first: np.ndarray  # the list of term t: first[t] .. first[t + 1]
     top: np.ndarray  # greatest impact of a list
+    last: np.ndarray  # item of a list's last posting
+    head: np.ndarray  # cursor before a list
+    entry: np.ndarray  # cursor at a posting, and one after all
     block_keys: np.ndarray  # of the last posting of a block
+    block_item: np.ndarray
     block_first: np.ndarray
     block_top: np.ndarray
     counted: dict = field(default_factory=lambda: {"scored": 0, "skipped": 0, "passages": 0})
@@ -86,7 +93,13 @@ class Postings:
         block_top = np.maximum.reduceat(impacts, begin)
         top = np.zeros(len(terms) + 1)
         top[sizes > 0] = np.maximum.reduceat(block_top, block_first[:-1][sizes > 0])
-        return cls(half, items, keys, impacts, first, top, keys[last], block_first, block_top)
+        term, item = np.divmod(keys.astype(np.int64), n + 1)
+        upper = np.ceil(top * UNIT).astype(np.int64)
+        entry = np.append((item << 32) | upper[term], n << 32)
+        some = first[1:] > first[:-1]
+        head = np.where(some, entry[np.minimum(first[:-1], len(keys))], n << 32)
+        ends = np.where(some, item[np.maximum(first[1:], 1) - 1], -1)
+        return cls(half, items, keys, impacts, first, top, ends, head, entry, keys[last], item[last], np.append(block_first, block_first[-1]), block_top)
 
     def retrieved(self, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(passage, item, score) of all items that score SCORE or more, for passages given as rows of different term
@@ -96,48 +109,58 @@ class Postings:
         maxima could reach the threshold; if the maxima of the blocks that hold the pivot cannot, all cursors leap past
         the first of those blocks to end, else they meet at the pivot, which is scored. A row ends without a pivot."""
         n, least = len(self.items), SCORE - 1e-9
-        row = np.flatnonzero(self.top[terms].sum(1) >= least)  # the others have no pivot
-        terms = terms[row]
-        base = (terms * (n + 1)).astype(self.keys.dtype)
-        at, end, top = self.first[terms], self.first[terms + 1], self.top[terms]
+        step, goal = self.keys.dtype.type(n + 1), int(least * UNIT)
+        row = np.flatnonzero((self.head[terms] & LOW).sum(1) >= goal)  # the others have no pivot
+        terms = terms[row].astype(self.keys.dtype)
+        # A cursor is its next item and, in the low bits, its list's maximum; one at its end comes last and counts nothing.
+        cursor, at, block = self.head[terms], self.first[terms], self.block_first[terms]
         self.counted["passages"] += len(row)
-
-        def moved(which: np.ndarray, to: np.ndarray) -> None:
-            """The cursors `which` go to the first posting of their lists from an item on."""
-            at[which] = np.maximum(at[which], np.minimum(np.searchsorted(self.keys, base[which] + to), end[which]))
+        width, gone = terms.shape[1], n << 32
 
         while len(row):
-            now = np.where(at < end, self.keys[np.minimum(at, len(self.keys) - 1)] - base, n)
-            order = np.argsort(now, axis=1)
-            reach = np.cumsum(np.take_along_axis(top, order, 1), axis=1) >= least
-            k = reach.argmax(1)
-            pivot = now[np.arange(len(row)), order[np.arange(len(row)), k]]
-            live = reach[np.arange(len(row)), k] & (pivot < n)
+            near = np.sort(cursor, axis=1)
+            reach = np.cumsum(near & LOW, axis=1) >= goal
+            live = reach[:, -1]
             if not live.all():
-                base, row, at, end, top, now, pivot, terms = (x[live] for x in (base, row, at, end, top, now, pivot, terms))
+                row, terms, cursor, at, block, near, reach = (x[live] for x in (row, terms, cursor, at, block, near, reach))
                 if not len(row):
                     return
-            r, j = np.nonzero(now <= pivot[:, None])
-            block = np.searchsorted(self.block_keys, base[r, j] + pivot[r])
-            some = block < self.block_first[terms[r, j] + 1]  # the list has postings from the pivot on
-            inside = np.minimum(block, len(self.block_keys) - 1)
-            bound = np.bincount(r, np.where(some, self.block_top[inside], 0.0), len(row))
-            open_ = bound >= least
-            leap = np.where(now > pivot[:, None], now, n).min(1)
-            np.minimum.at(leap, r, np.where(some, self.block_keys[inside] - base[r, j] + 1, n))
-            target = np.where(open_, pivot, np.maximum(leap, pivot + 1))
-            behind = now < target[:, None]
-            moved(behind, np.broadcast_to(target[:, None], now.shape)[behind])
-            self.counted["skipped"] += int(np.count_nonzero(~open_[r] & some))
-            scored = np.flatnonzero(open_)
-            if len(scored):
-                place = np.minimum(at[scored], len(self.keys) - 1)
-                meets = (at[scored] < end[scored]) & (self.keys[place] - base[scored] == pivot[scored, None])
-                score = np.where(meets, self.impacts[place], 0.0).sum(1)
-                self.counted["scored"] += len(scored)
+            pivot = near[np.arange(len(row)), reach.argmax(1)] >> 32
+            upto = cursor < ((pivot + 1) << 32)[:, None]
+            many = np.count_nonzero(upto, axis=1)
+            own, starts = np.flatnonzero(upto), np.cumsum(many) - many
+            p, t, b = np.repeat(pivot, many), terms.take(own), block.take(own)
+            # the blocks that hold the first posting from the pivot on
+            late = np.flatnonzero(self.block_item.take(b) < p)
+            b[late] = np.searchsorted(self.block_keys, t[late] * step + p[late].astype(t.dtype))
+            over = late[b[late] >= self.block_first.take(t[late] + 1)]
+            b[over] = len(self.block_top) - 1  # no block: no maximum, no end
+            block.put(own[late], b[late])
+            tops, ends = self.block_top.take(b), self.block_item.take(b)
+            tops[over], ends[over] = 0, n
+            open_ = np.add.reduceat(tops, starts) >= least
+            after = np.where(many < width, near[np.arange(len(row)), np.minimum(many, width - 1)] >> 32, n)
+            target = np.where(open_, pivot, np.minimum(np.minimum.reduceat(ends, starts) + 1, after))
+            self.counted["skipped"] += int(many[~open_].sum()) - int(np.count_nonzero(~np.repeat(open_, many)[over]))
+            to = np.repeat(target, many)
+            behind = np.flatnonzero((cursor.take(own) >> 32) < to)
+            t, to, which = t[behind], to[behind], own[behind]
+            left = self.last.take(t) >= to
+            cursor.put(which[~left], gone)
+            t, which = t[left], which[left]
+            place = np.searchsorted(self.keys, t * step + to[left].astype(t.dtype))
+            at.put(which, place)
+            cursor.put(which, self.entry.take(place))
+            if open_.any():
+                self.counted["scored"] += int(np.count_nonzero(open_))
+                meets = np.flatnonzero(np.repeat(open_, many) & ((cursor.take(own) >> 32) == p))
+                which = own[meets]
+                place = at.take(which)
+                score = np.bincount(which // width, self.impacts.take(place), len(row))
                 for i in np.flatnonzero(score >= least):
-                    yield int(row[scored[i]]), int(pivot[scored[i]]), float(score[i])
-                at[scored] += meets
+                    yield int(row[i]), int(pivot[i]), float(score[i])
+                at.put(which, place + 1)
+                cursor.put(which, np.where(self.last.take(terms.take(which)) > p[meets], self.entry.take(place + 1), gone))
 
 
 @dataclass
@@ -166,7 +189,7 @@ class Index:
     def search(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item id, score, overlap of the question, of the answer) of every verified passage."""
         get = self.terms.get
-        ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int64)
+        ids = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
         for c in self.classes:
             yield from self._search(c, ids, lengths)
@@ -178,7 +201,8 @@ class Index:
         doc_of = np.repeat(np.arange(len(lengths)), halves)
         half_at = np.repeat(begin[:-1], lengths) + (np.arange(len(ids)) - np.repeat(starts, lengths)) // c.half
         known = np.flatnonzero((ids >= 0) & (c.top[ids] > 0))
-        pairs = np.unique(half_at[known] * empty + ids[known])  # a word counts once in a half
+        pairs = np.sort(half_at[known] * empty + ids[known])
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # a word counts once in a half
         at, term = np.divmod(pairs, max(1, empty))
         reach = np.bincount(at, c.top[term], begin[-1])
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
