@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ class _Words:
 
         self.forget()
         self.tokenizer = Tokenizer.from_file(path)
+        self.written = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -44,7 +44,7 @@ class _Words:
             letters = word.rstrip(self.MARKS)
             if letters.isascii() and letters.isalpha():
                 made.append((word, letters.lower(), word[len(letters) :]))
-            elif letters.isalpha() and normalize("NFC", letters).lower().isalpha() and normalize("NFKD", letters).lower().isalpha():
+            elif letters.isalpha() and self.written(letters).isalpha():
                 made.append((word, letters, word[len(letters) :]))
             else:
                 odd.append(word)
