@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounds of a tile: a task holds one group of queries and one shard, and the scores of so many queries at once.
-QUERY_ROWS, SHARD_ROWS, SCORE_CELLS = 200_000, 50_000, 4_000_000
+#: The bounds of a task: components of its group of queries and of its shard (8 bytes each), and scores held at once.
+QUERY_CELLS, SHARD_CELLS, SCORE_CELLS = 8_000_000, 8_000_000, 4_000_000
+#: Shards at least, so that small tables are spread too.
+LEAST_SHARDS = 64
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -54,20 +56,31 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
         spare *= 4
 
 
+def _ranked(tops: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best of each value of the keys, each vec_id once; the rows are dealt by the keys already."""
+    own = tops.groupBy(*keys, "vec_id").agg(F.max("score").alias("score"))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the highest inner product for every query; both sides (id, v).
 
-    The grid: queries fall into groups and candidates into shards by hashed id, each of a bounded number of rows, and one
-    task multiplies one group by one shard in tiles and selects each tile's best. A query gets k rows from each shard;
-    those merge in two levels, first among neighbouring shards, so that no merge sees more than a root of them.
-    Ties go to the smaller vec_id, fewer than k candidates give fewer rows, an id that repeats counts once with its best
-    score, vectors are compared with those of their own length only; empty tables give no rows.
+    The grid: queries fall into groups by hashed id and candidates into shards, each of a bounded number of components
+    however long the vectors are, and one task multiplies one group by one shard in tiles and selects each tile's best.
+    Rows of a candidate's id are dealt over shards by the scan's partition too, so that an id that repeats fills no shard.
+    A query gets k rows from each shard; those merge in two levels, first among neighbouring shards, so that no merge sees
+    more than a root of them. Ties go to the smaller vec_id, fewer than k candidates give fewer rows, an id that repeats
+    counts once with its best score (as query: the best of its rows), scores are held to the range of a long, vectors are
+    compared with those of their own length only; empty tables give no rows.
     """
-    n_queries, n_candidates = queries.count(), candidates.count()
-    groups, shards = max(1, ceil(n_queries / QUERY_ROWS)), max(64, ceil(n_candidates / SHARD_ROWS))
+    sizes = [x.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first() for x in (queries, candidates)]
+    groups, shards = (ceil(x["n"] * (x["dims"] or 0) / cells) for x, cells in zip(sizes, (QUERY_CELLS, SHARD_CELLS), strict=True))
+    groups, shards = max(1, groups), max(LEAST_SHARDS, shards)
     span = max(1, round(shards**0.5))
     left = queries.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = candidates.select("id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    spread = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(shards)).cast("int")
+    dealt = candidates.select(F.col("id").alias("id"), F.col("v").alias("v"), spread.alias("shard"))  # names of their own: both sides are often one table
+    right = dealt.select("id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), "shard")
 
     def multiply(q: pa.Table, c: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_id": [], "shard": [], "vec_id": [], "score": []}
@@ -87,8 +100,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     keys = ["dims", "group", "shard"]
     tops = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, "query_id long, shard int, vec_id long, score long")
-    order = [F.desc("score"), F.asc("vec_id")]
-    near = Window.partitionBy("query_id", F.floor(F.col("shard") / span)).orderBy(*order)
-    level = tops.distinct().withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
-    whole = Window.partitionBy("query_id").orderBy(*order)
-    return level.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = tops.withColumn("near", F.floor(F.col("shard") / span)).repartition("query_id", "near")
+    best = _ranked(best, ["query_id", "near"], k).drop("rank").repartition("query_id")
+    return _ranked(best, ["query_id"], k).select("query_id", "rank", "vec_id", "score")

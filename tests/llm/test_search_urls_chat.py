@@ -17,9 +17,9 @@ def brute(vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [(200_000, 50_000, 4_000_000), (2, 20, 50)])
+@pytest.mark.parametrize("limits", [(8_000_000, 8_000_000, 4_000_000), (16, 40, 50)])
 def test_top_k_is_exact_with_ties_and_holes(spark, monkeypatch, limits):
-    for name, value in zip(("QUERY_ROWS", "SHARD_ROWS", "SCORE_CELLS"), limits, strict=True):
+    for name, value in zip(("QUERY_CELLS", "SHARD_CELLS", "SCORE_CELLS"), limits, strict=True):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
@@ -39,6 +39,18 @@ def test_top_k_of_huge_components_and_repeated_ids(spark):
     assert topk.top_k(v.limit(0), v, 5).count() == 0
 
 
+def test_an_id_that_repeats_fills_no_shard(spark, monkeypatch):
+    """A third of all rows are one id, in every partition, with two vectors; it counts once, with its best."""
+    monkeypatch.setattr(topk, "SHARD_CELLS", 8)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(1, 200)] + [(300, [9.0, float(i % 2)]) for i in range(100)] + [(0, [1.0, 0.5])]
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8))
+    got = [tuple(r) for r in topk.top_k(v.filter("id = 0"), v, 3).orderBy("rank").collect()]
+    scores = {}
+    for i, (x, y) in rows[:-1]:
+        scores[i] = max(scores.get(i, 0), int(256 * 256 * x + 128 * 256 * y))
+    assert got == [(0, r + 1, i, s) for r, (i, s) in enumerate(sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:3])]
+
+
 def test_url_parts_rules_and_posteriors(spark):
     urls = [None, "no scheme", "HTTP://WWW.Example.COM/de/x?y", "http://example.net/en/1#t", "http://a.example.net/de/", "https://x.org/fr/", "https://x.org", "http://net/", "http://É.net?/en/", "http://u:p@bad.test:80/", "x://a://b/c"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, "http://bad.test/") for i in range(60)] + [(200 + i, "http://good.test/") for i in range(60)] + [(None, "http://good.test/")]
